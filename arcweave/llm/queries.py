@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import bpe, leakage, quantiles, repetition, truncation
+from arcweave.llm import bpe, leakage, neighbours, quantiles, repetition, truncation
 from arcweave.runtime import table, write_stage
 
 
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar(table(spark, d, "proto_field_data"), table(spark, d, "vector_index"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d).select("index_id", F.least("vid", "neighbour").alias("vid_a"), F.greatest("vid", "neighbour").alias("vid_b")).distinct()
+
+
+def p1_similar(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d).select("index_id", "vid", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     """Finished jobs, each once, with the procedure's name without case and outer white space."""
     blank = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -57,7 +69,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
     return repetition.measure(table(spark, d, "documents"), stratum="lang").select("doc_id", "n_words", "n_repeated", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_median, p4_percentiles, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p4_found, p4_median, p4_percentiles, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_share)}
 _JOBS = r"WITH j AS (SELECT job_id, min(lower(regexp_replace(procedure_name, '^\s+|\s+$', '', 'g'))) AS procedure, min(runtime) AS runtime FROM job_run WHERE status = 'finished' AND runtime >= 0 AND procedure_name IS NOT NULL GROUP BY job_id), m AS (SELECT procedure, count(*) AS n_jobs, median(runtime) AS median FROM j GROUP BY procedure)"
 
 ORACLE: dict[str, str] = {
