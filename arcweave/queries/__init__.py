@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from arcweave.queries import feeds
+    from arcweave.queries import cypher, feeds
 
-    return [feeds]
+    return [cypher, feeds]
 
 
 def all_queries() -> dict:
