@@ -40,10 +40,10 @@ _BLANK = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205
 #: what may follow a finished sentence
 _AFTER = rf"(?:[{_BLANK}]++|[”\"’'»›」』]++|[★☆⭐✩✭✮✯✰*]++|[(\[][^()\[\]]*+[)\]])*+\z"
 _OMISSION = rf"(?:…|\.{{3,}}+|[(\[][{_BLANK}]*+(?:…|\.{{3,}}+)[{_BLANK}]*+[)\]])[{_BLANK}”\"’'»›」』]*+\z"
-_MARK = r"[.!?。！？]\z"
+_MARKS = (".", "!", "?", "。", "！", "？")
 _OPEN = r"(?:“[^”]*+|\([^)]*+|\[[^\]]*+)\z"
-_LAST_TWO = rf"([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]++)\z"
-_SENTENCE_END = rf"([^{_BLANK}]+[{_BLANK}]+[^{_BLANK}]+?)[.!?](?![.…!?])(?=[{_BLANK}”\"’'»)\]]|\z)"
+_LAST_TWO = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]++)\z"
+_SENTENCE_END = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]+?)[.!?](?![.…!?])(?=[{_BLANK}”\"’'»)\]]|\z)"
 
 
 def _pair(x: Column) -> Column:
@@ -63,17 +63,19 @@ def judge(df: DataFrame, key: str, fields: list[str], source: str) -> DataFrame:
     """One row per row and non-blank field: ``id, source, field_name, kind,
     cut``; a null source is given as U+0000."""
     values = _long(df, key, fields, source)
-    v = F.col("v")
-    omitted = v.rlike(_OMISSION)
-    core = F.regexp_replace(F.when(omitted, F.regexp_replace(v, _OMISSION, "")).otherwise(v), _AFTER, "")
-    kind = (
-        F.when(core.rlike(_MARK), "finished").when((core == "") & ~omitted, "finished")
-        .when(v.rlike(_OPEN) | ~core.rlike(r"[\p{L}\p{N}\p{M}]\z"), "open")
-        .when(omitted, "omitted").otherwise("bare")
-    )
+    v, core = F.col("v"), F.col("core")
+    # a step at a time, so that no pattern is run twice on a value
+    step = values.withColumn("omitted", v.rlike(_OMISSION))
+    step = step.withColumn("core", F.regexp_replace(F.when(F.col("omitted"), F.regexp_replace(v, _OMISSION, "")).otherwise(v), _AFTER, ""))
+    step = step.withColumn("final", F.right(core, F.lit(1)))
+    step = step.withColumn("kind", (
+        F.when(F.col("final").isin(*_MARKS), "finished").when((core == "") & ~F.col("omitted"), "finished")
+        .when(v.rlike(_OPEN) | ~F.col("final").rlike(r"[\p{L}\p{N}\p{M}]"), "open")
+        .when(F.col("omitted"), "omitted").otherwise("bare")
+    ))
     ends = values.select("field_name", F.explode(F.regexp_extract_all("v", F.lit(_SENTENCE_END), 1)).alias("e"))
     known = ends.groupBy("field_name", _pair(F.col("e")).alias("pair")).count().filter(F.col("count") >= MIN_SEEN).select("field_name", "pair", F.lit(True).alias("known"))
-    marked = values.select("id", "source", "field_name", F.length("v").alias("chars"), F.octet_length("v").alias("bytes"), kind.alias("kind"), omitted.alias("omitted"), F.when(kind.isin("omitted", "bare"), _pair(F.regexp_extract(core, _LAST_TWO, 1))).alias("pair"))
+    marked = step.select("id", "source", "field_name", F.length("v").alias("chars"), F.octet_length("v").alias("bytes"), "kind", "omitted", F.when(F.col("kind").isin("omitted", "bare"), _pair(F.regexp_extract(core, _LAST_TWO, 1))).alias("pair"))
     marked = write_stage(marked, "values")
     asked = marked.filter("kind in ('omitted', 'bare')")
     judged = join_bounded(asked, write_stage(known, "endings"), ["field_name", "pair"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
