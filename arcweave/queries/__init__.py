@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from arcweave.queries import cypher, feeds
+    from arcweave.queries import algorithms, cypher, feeds
 
-    return [cypher, feeds]
+    return [cypher, algorithms, feeds]
 
 
 def all_queries() -> dict:

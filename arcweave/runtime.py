@@ -36,13 +36,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder, so
-    that later plans start from files which outlive any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for a written table."""
     return f"{checkpoint_dir(spark)}/arcweave-{name}-{uuid.uuid4().hex}"
@@ -56,6 +49,23 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that later
+    plans start from files which outlive any executor and whose size the
+    planner knows. ``replaces``: an earlier result of ``cut`` that nothing
+    needs any more once this one is written; its files are deleted."""
+    path = stage_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._arcweave_path = path
+    old = getattr(replaces, "_arcweave_path", None)
+    if old:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return out
+
+
 def union_all(frames: list[DataFrame], missing: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=missing), frames)
 
