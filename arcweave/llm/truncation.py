@@ -43,7 +43,7 @@ _OMISSION = rf"(?:…|\.{{3,}}+|[(\[][{_BLANK}]*+(?:…|\.{{3,}}+)[{_BLANK}]*+[)
 _MARKS = (".", "!", "?", "。", "！", "？")
 _OPEN = r"(?:“[^”]*+|\([^)]*+|\[[^\]]*+)\z"
 _LAST_TWO = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]++)\z"
-_SENTENCE_END = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]+?)[.!?](?![.…!?])(?=[{_BLANK}”\"’'»)\]]|\z)"
+_SENTENCE_END = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]*?[^{_BLANK}.!?…])[.!?](?![.…!?])(?=[{_BLANK}”\"’'»)\]]|\z)"
 
 
 def _pair(x: Column) -> Column:
@@ -65,8 +65,9 @@ def judge(df: DataFrame, key: str, fields: list[str], source: str) -> DataFrame:
     values = _long(df, key, fields, source)
     v, core = F.col("v"), F.col("core")
     # a step at a time, so that no pattern is run twice on a value
-    step = values.withColumn("omitted", v.rlike(_OMISSION))
-    step = step.withColumn("core", F.regexp_replace(F.when(F.col("omitted"), F.regexp_replace(v, _OMISSION, "")).otherwise(v), _AFTER, ""))
+    step = values.withColumn("base", F.when(v.rlike(_OMISSION), v).otherwise(F.regexp_replace(v, _AFTER, "")))
+    step = step.withColumn("omitted", F.col("base").rlike(_OMISSION))
+    step = step.withColumn("core", F.when(F.col("omitted"), F.regexp_replace(F.regexp_replace("base", _OMISSION, ""), _AFTER, "")).otherwise(F.regexp_replace("base", _AFTER, "")))
     step = step.withColumn("final", F.right(core, F.lit(1)))
     step = step.withColumn("kind", (
         F.when(F.col("final").isin(*_MARKS), "finished").when((core == "") & ~F.col("omitted"), "finished")
@@ -83,6 +84,9 @@ def judge(df: DataFrame, key: str, fields: list[str], source: str) -> DataFrame:
     style = {r["field_name"]: (r["b"] or 0) / max(1, (r["b"] or 0) + (r["f"] or 0)) >= BARE_STYLE for r in flat.groupBy("field_name").agg(F.sum(F.expr("int(kind = 'bare' and known)")).alias("b"), F.sum(F.expr("int(kind = 'finished')")).alias("f")).collect()}
     may_be_bare = F.col("field_name").isin(*[f for f, ok in style.items() if ok]) if any(style.values()) else F.lit(False)
     cutting = spikes(flat).filter("n_omitted > 0 and 2 * n_unfinished >= n_omitted")
+    # a limit is one of characters or of bytes: the unit at whose spikes more unfinished values lie
+    field, unit = Window.partitionBy("source", "field_name"), Window.partitionBy("source", "field_name", "unit")
+    cutting = cutting.withColumn("mine", F.sum("n_unfinished").over(unit)).withColumn("most", F.max("mine").over(field)).filter("mine = most")
     for unit in ("chars", "bytes"):
         one = cutting.filter(F.col("unit") == unit).select("source", "field_name", F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}"))
         flat = join_bounded(flat, one, ["source", "field_name", unit], "left")
