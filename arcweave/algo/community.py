@@ -56,15 +56,26 @@ def scc(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
         keep = left.select("id")
         e = cut(e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
 
+    first = True
     while not left.isEmpty():
-        while True:  # trim
-            inside = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id")
-            single = cut(left.join(inside, "id", "left_anti"))
-            if single.isEmpty():
+        size = e.count()
+        while size:  # trim: keep edges between vertices that have both in- and out-edges
+            keep = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id")
+            new = cut(e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+            before, size, e = size, new.count(), new
+            if size == before:
                 break
-            finish(single.select("id", F.col("id").alias("component")))
+        finish(left.join(ends(e), "id", "left_anti").select("id", F.col("id").alias("component")))
         if left.isEmpty():
             break
+        if first:  # most vertices lie in one component: that of the vertex of most edges in and out
+            first = False
+            outs, ins = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o")), e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
+            pivot = outs.join(ins, "id").orderBy(F.desc(F.col("o") * F.col("i")), "id").select("id").limit(1)
+            down, up = _reach(e, pivot), _reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot)
+            giant = cut(down.join(up, "id"))
+            finish(giant.crossJoin(F.broadcast(giant.agg(F.min("id").alias("component")))))  # one row
+            continue
         colour = _spread(e, left.select("id", F.col("id").alias("c")))
         inner = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b").select("src", "dst")
         inner = cut(inner)
@@ -79,6 +90,16 @@ def scc(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return done if done is not None else empty
 
 
+def _reach(e: DataFrame, start: DataFrame) -> DataFrame:
+    """The vertices reached from ``start`` (``id``), itself included."""
+    seen = front = cut(start)
+    while True:
+        front = cut(front.join(e, front["id"] == e["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
 def _spread(e: DataFrame, start: DataFrame) -> DataFrame:
     """The smallest ``c`` that reaches each vertex."""
     state = cut(start)

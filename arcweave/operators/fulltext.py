@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.runtime import write_stage
+
 K1, B = 1.2, 0.75
 
 
@@ -19,6 +21,7 @@ def search(df: DataFrame, key: str, text: str, query: str, top: int) -> DataFram
     low = F.lower(F.col(f"`{text}`"))
     tokens = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
     d = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), tokens.alias("t")).select("key", F.size("t").alias("len"), *[_count(w).alias(f"f{i}") for i, w in enumerate(words)])
+    d = write_stage(d, "words")  # one pass over the texts; what follows reads counts only
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):
