@@ -72,7 +72,18 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p4_found, p4_median, p4_percentiles, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_share)}
 _JOBS = r"WITH j AS (SELECT job_id, min(lower(regexp_replace(procedure_name, '^\s+|\s+$', '', 'g'))) AS procedure, min(runtime) AS runtime FROM job_run WHERE status = 'finished' AND runtime >= 0 AND procedure_name IS NOT NULL GROUP BY job_id), m AS (SELECT procedure, count(*) AS n_jobs, median(runtime) AS median FROM j GROUP BY procedure)"
 
+# words as in the text of the problem: ideographs are set apart, the rest are runs of letters and digits
+_WORDS = r"regexp_extract_all(regexp_replace(lower({c}), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+_DOC_WORDS = f"d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL)"
+_GRAMS = "g AS (SELECT doc_id, i, w[i:i + {last}] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {last} + 1)) AS i FROM d WHERE len(w) > {last}))"
+_REPEATED = f"""WITH {_DOC_WORDS}, {_GRAMS.format(last=7)}, f AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, g) AS least FROM g),
+ r AS (SELECT doc_id, count(*) AS n_repeated FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM f WHERE i > least) GROUP BY doc_id),
+ s AS (SELECT x.doc_id, coalesce(len(d.w), 0) AS n_words, coalesce(r.n_repeated, 0) AS n_repeated FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id))"""
+
 ORACLE: dict[str, str] = {
+    "p8_found": f"WITH {_DOC_WORDS}, {_GRAMS.format(last=11)}, e AS (SELECT item_id AS doc_id, {_WORDS.format(c='passage')} AS w FROM eval_items), h AS (SELECT doc_id AS item_id, w[i:i + 11] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) > 11)) SELECT DISTINCT g.doc_id, h.item_id FROM g JOIN h ON g.g = h.g",
+    "p9_found": f"{_REPEATED} SELECT doc_id FROM s WHERE n_words > 0 AND n_repeated >= 0.3 * n_words",
+    "p9_share": f"{_REPEATED} SELECT doc_id, n_words, n_repeated, round(n_repeated::DOUBLE / greatest(n_words, 1), 6) AS share FROM s",
     "p4_found": f"{_JOBS} SELECT job_id FROM j JOIN m USING (procedure) WHERE runtime > 10 * median",
     "p4_median": f"{_JOBS} SELECT procedure, n_jobs, median FROM m",
 }
