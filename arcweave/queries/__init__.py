@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from arcweave.queries import algorithms, cypher, feeds
+    from arcweave.queries import algorithms, cypher, feeds, fin, updates
 
-    return [cypher, algorithms, feeds]
+    return [cypher, fin, updates, algorithms, feeds]
 
 
 def all_queries() -> dict:
