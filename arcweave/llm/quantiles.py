@@ -11,12 +11,13 @@ together and collapsing in the same way, over a tree of partitions, so that a
 group holding most rows costs a task no more than ``FAN_IN`` small sketches.
 
 ``exact_quantile`` uses the bound to get exact results: the sketch brackets the
-wanted order statistics, the next pass sketches only the values inside the
-bracket, until a sketch is exact (two passes for groups below some ten million
-values).
+wanted order statistics, the next pass counts the values equal to the bounds and
+sketches only those strictly between them, until a sketch is exact or its
+brackets have shrunk to single values (two passes for groups below some ten
+million values). So a value that fills much of a group ends the search.
 
 Defined cases: null groups, null and NaN values are left out; infinite values
-are ordinary; ties need no rule; a group of one value has it as every
+are ordinary; ties may be of any size; a group of one value has it as every
 percentile; empty tables give empty results; extra columns are ignored.
 """
 
@@ -223,24 +224,37 @@ def exact_quantile(df: DataFrame, group: str, value: str, point: float) -> DataF
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for g, n, below, data in zip(b["grp"], b["n"], b["below"], b["sketch"]):
-                s = Sketch.unpack(data)
+            for g, n, below, lows, old_low, old_high, data in zip(b["grp"], b["n"], b["below"], b["lows"], b["low"], b["high"], b["sketch"]):
+                s = Sketch() if data is None else Sketch.unpack(data)
                 where = point * (n - 1)
-                first, second = math.floor(where) + 1 - below, math.ceil(where) + 1 - below
-                low, a, _ = s.bracket(first)
-                _, c, high = s.bracket(second)
-                out.append((g, n, low, high, s.error == 0, a + (c - a) * (where - math.floor(where)) if a != c else a))
+
+                def at(rank: int) -> tuple[float, float, float]:
+                    """The bracket of the value at this rank: one of the old bounds, or between them."""
+                    if rank <= below + lows:
+                        return old_low, old_low, old_low
+                    if rank > below + lows + s.n:
+                        return old_high, old_high, old_high
+                    low, mid, high = s.bracket(rank - below - lows)
+                    return max(low, old_low), mid, min(high, old_high)
+
+                low, a, a_high = at(math.floor(where) + 1)
+                c_low, c, high = at(math.ceil(where) + 1)
+                done = s.error == 0 or (low == a_high and c_low == high)
+                out.append((g, n, low, high, done, a + (c - a) * (where - math.floor(where)) if a != c else a))
             yield pd.DataFrame(out, columns=["grp", "n", "low", "high", "done", "quantile"])
 
     state = "grp string, n bigint, low double, high double, done boolean, quantile double"
-    first = sketch(rows, "grp", "v").select("grp", "n", F.lit(0).cast("long").alias("below"), "sketch")
+    none, inf = F.lit(0).cast("long"), F.lit(float("inf"))
+    first = sketch(rows, "grp", "v").select("grp", "n", none.alias("below"), none.alias("lows"), (-inf).alias("low"), inf.alias("high"), "sketch")
     bounds = write_stage(first.mapInPandas(narrow, state), "quantile")
     finished = [bounds.filter("done")]
     while not (todo := bounds.filter("not done")).isEmpty():
         near = join_bounded(rows, todo.select("grp", "n", "low", "high"), ["grp"])
-        below = near.groupBy("grp").agg(F.sum(F.when(F.col("v") < F.col("low"), 1).otherwise(0)).alias("below"), F.first("n").alias("whole"))
-        inside = sketch(near.filter("v >= low and v <= high"), "grp", "v").select("grp", "sketch")
-        both = inside.join(below, "grp").select("grp", F.col("whole").alias("n"), "below", "sketch")
+        count = lambda c: F.count(F.when(c, 1))
+        sides = near.groupBy("grp").agg(F.first("n").alias("n"), count(F.col("v") < F.col("low")).alias("below"), count(F.col("v") == F.col("low")).alias("lows"), F.first("low").alias("low"), F.first("high").alias("high"))
+        # the bounds themselves are counted, so each pass has fewer distinct values to sketch
+        inside = sketch(near.filter("v > low and v < high"), "grp", "v").select("grp", "sketch")
+        both = sides.join(inside, "grp", "left").select("grp", "n", "below", "lows", "low", "high", "sketch")
         bounds = write_stage(both.mapInPandas(narrow, state), "quantile")
         finished.append(bounds.filter("done"))
     out = finished[0]

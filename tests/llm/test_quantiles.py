@@ -59,3 +59,29 @@ def test_days_combine(make):
             r = p[g, q]
             assert r.n == len(s) and r.low <= s[math.ceil(q * len(s)) - 1] <= r.high
     assert Q.percentiles(Q.combine(Q.sketch(df.filter("false"), "g", "v", "day")), [0.5]).count() == 0
+
+
+def test_heavy_ties_end(make, monkeypatch):
+    stages, write = [], Q.write_stage
+
+    def counted(df, name):
+        stages.append(name)
+        assert len(stages) <= 8, "passes without end"
+        return write(df, name)
+
+    monkeypatch.setattr(Q, "write_stage", counted)
+    rng = np.random.default_rng(3)
+    groups = {
+        "one value": np.full(30000, 7.0),
+        "third at the median": np.r_[rng.uniform(0, 1, 15000), np.full(15000, 2.0), rng.uniform(3, 4, 15000)],
+        "two values": np.repeat([0.0, 1.0], 15000),
+        "zero and more": np.r_[np.zeros(15000), rng.uniform(1, 2, 15000)],
+        "half and more": np.r_[rng.uniform(1, 2, 15000), np.full(15000, 5.0)],
+    }
+    df = make([(g, float(x)) for g, v in groups.items() for x in rng.permutation(v)], "g string, v double")
+    for point in (0.5, 0.01, 1.0):
+        stages.clear()
+        got = {r.grp: (r.n, r.quantile) for r in Q.exact_quantile(df, "g", "v", point).collect()}
+        assert got.keys() == groups.keys()
+        for g, v in groups.items():
+            assert got[g][0] == len(v) and abs(got[g][1] - np.quantile(v, point)) < 1e-9, (g, point)
