@@ -3,13 +3,18 @@
 Each of ``TREES`` trees gives a vector a string of 64 bits, the signs of random
 projections. A tree is a sorted array of these strings, kept as leaves of a
 trie: prefixes of variable length, as long as the data are dense there, fitted
-on a bounded sample and applied to every vector. In a leaf the vectors with the
-longest common prefix are the nearest in the sorted array; every vector steps
-outward from its place, in all trees by the same number of places, so the
-common prefixes get shorter in step (``REACH`` places each way). What is met is
-held against a separate 128-bit signature, and only pairs whose signatures
-allow the wanted cosine become candidates. Their cosines are then computed
-exactly from the vectors.
+on a bounded sample and applied to every vector. In a leaf every vector steps
+outward from its place: ``REACH`` places each way, and on until the common
+prefix is shorter than ``PREFIX`` bits, so that the budget grows with the
+density around it. What is met is held against a separate 128-bit signature,
+and only pairs whose signatures allow the wanted cosine become candidates.
+Their cosines are then computed exactly from the vectors.
+
+Signatures can't rank the members of a dense group. A vector that meets
+``REACH / 2`` candidates in one tree, or whose prefix bucket is too large
+(``FARTHEST``) in ``SHORT`` trees, is compared with its whole index instead, in
+blocks of matrix products; so is every vector where no least cosine is given.
+That is exact, and its cost is the number of such vectors times the index.
 
 Equal vectors (after normalisation) are one class: a class enters the forest
 once, however many vectors it has, and its members share its neighbours; among
@@ -17,7 +22,8 @@ them and beyond, the smaller id comes first at equal cosine. So a group holding
 a third of all vectors costs no more than its rows.
 
 What is shuffled: 40 bytes per class and tree, packed in blocks; candidates;
-vectors of candidates only (broadcast below a counted size).
+vectors of candidates only (broadcast below a counted size). The exact
+comparison writes the vectors once more, in doubles, and reads them per task.
 
 Defined cases: an unusable vector (null, wrong length, null or not finite
 element, norm 0) is left out, and so is a null id; a repeated (index, id) counts
@@ -41,6 +47,13 @@ from arcweave.runtime import join_bounded, write_stage
 
 TREES = 16
 REACH = 96
+#: Bits of the prefix down to which a vector's surroundings are searched in each tree, and the most places for that.
+PREFIX = 12
+FARTHEST = 4096
+#: Trees not searched to that prefix, from which a vector is compared with its whole index.
+SHORT = 4
+#: Vectors of a block of the exact comparison.
+ROWS = 2048
 #: Vectors of the sample that the leaves are fitted on, at most (about).
 SAMPLE_ROWS = 20_000
 #: Classes a leaf should hold at most (about).
@@ -145,28 +158,52 @@ _BLOCK = "index_id int, tree int, leaf int, n int, vid binary, class binary, str
 _PAIR = "index_id int, a bigint, b bigint"
 
 
-def _leaf_search(frame: pd.DataFrame, reach: int, differ: int) -> pd.DataFrame:
-    """The candidate pairs of one leaf."""
+def _leaf_search(frame: pd.DataFrame, reach: int, differ: int, leaves: dict) -> pd.DataFrame:
+    """The candidate pairs of one leaf, and (as ``a`` with ``short`` > 0) the
+    classes whose bucket this tree can't search to its end."""
     get = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
     vid, klass, string, sig = get("vid", np.int64), get("class", np.int64), get("string", np.uint64), get("sig", np.uint64).reshape(-1, 2)
     order = np.lexsort((vid, klass))
     order = order[np.r_[True, klass[order][1:] != klass[order][:-1]]]  # the smallest id stands for its class
     order = order[np.lexsort((klass[order], string[order]))]
-    vid, x, y = vid[order], sig[order, 0], sig[order, 1]
-    found = []
-    for step in range(1, min(reach, len(vid) - 1) + 1):
-        d = np.bitwise_count(x[step:] ^ x[:-step]) + np.bitwise_count(y[step:] ^ y[:-step])
-        at = np.flatnonzero(d <= differ)
-        if len(at):
-            found.append(np.stack([vid[at], vid[at + step]]))
+    vid, x, y, string = vid[order], sig[order, 0], sig[order, 1], string[order]
+    i, t, k = (int(frame[c].iloc[0]) for c in ("index_id", "tree", "leaf"))
+    bounds = leaves[i][t] if i in leaves else np.zeros(1, np.uint64)
+    deep = (int(bounds[k + 1]) if k + 1 < len(bounds) else 1 << 64) - int(bounds[k]) < 1 << (64 - PREFIX)
+    here = np.arange(len(vid))
+    bucket = string >> np.uint64(64 - PREFIX)
+    up, down = np.searchsorted(bucket, bucket, "right") - 1 - here, here - np.searchsorted(bucket, bucket)
+    found, hits, dense = [], np.zeros(len(vid), np.int64), np.zeros(len(vid), bool)
+    active, most = here, min(reach if deep else FARTHEST, len(vid) - 1)
+    for step in range(1, most + 1):
+        if step <= reach:
+            i0 = here[: len(vid) - step]
+        else:
+            if step % 32 == 1 or step == reach + 1:
+                dense = hits >= reach // 2
+            active = active[up[active] >= step]
+            if not len(active):
+                break
+            i0 = active[~(dense[active] & dense[active + step])]
+        i1 = i0 + step
+        ok = np.bitwise_count(x[i0] ^ x[i1]) + np.bitwise_count(y[i0] ^ y[i1]) <= differ
+        i0, i1 = i0[ok], i1[ok]
+        if len(i0):
+            hits[i0] += 1
+            hits[i1] += 1
+            found.append(np.stack([vid[i0], vid[i1]]))
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     pairs = pairs[:, pairs[0] != pairs[1]]
-    return pd.DataFrame({"index_id": np.full(pairs.shape[1], frame["index_id"].iloc[0], np.int32), "a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+    short = np.where(hits >= reach // 2, SHORT, np.where(deep | (np.maximum(up, down) > max(FARTHEST, reach)), 1, 0))
+    rest = np.flatnonzero(short)
+    none = np.zeros(pairs.shape[1], np.int64)
+    return pd.DataFrame({"index_id": np.full(pairs.shape[1] + len(rest), i, np.int32), "a": np.r_[pairs.min(axis=0), vid[rest]], "b": np.r_[pairs.max(axis=0), vid[rest]], "short": np.r_[none, short[rest]].astype(np.int32)})
 
 
-def candidates(rows: DataFrame, min_cosine: float, trees: int = TREES, reach: int = REACH, leaves: dict | None = None) -> DataFrame:
+def candidates(rows: DataFrame, min_cosine: float, trees: int = TREES, reach: int = REACH, leaves: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """``index_id, a, b``: pairs of class representatives (their smallest
-    ids), a < b, each once, whose cosine may reach ``min_cosine``."""
+    ids), a < b, each once, whose cosine may reach ``min_cosine``; and
+    ``index_id, rep``: the classes in places too dense for the trees."""
     leaves = fit_leaves(rows, trees) if leaves is None else leaves
     differ = most_different(min_cosine)
 
@@ -202,8 +239,10 @@ def candidates(rows: DataFrame, min_cosine: float, trees: int = TREES, reach: in
                 n = 0
         yield from out()
 
-    found = rows.mapInArrow(blocks, _BLOCK).groupBy("index_id", "tree", "leaf").applyInPandas(lambda f: _leaf_search(f, reach, differ), _PAIR)
-    return found.distinct()
+    found = rows.mapInArrow(blocks, _BLOCK).groupBy("index_id", "tree", "leaf").applyInPandas(lambda f: _leaf_search(f, reach, differ, leaves), f"{_PAIR}, short int")
+    found = write_stage(found, "met")
+    rest = found.filter("short > 0").groupBy("index_id", F.col("a").alias("rep")).agg(F.sum("short").alias("short")).filter(F.col("short") >= SHORT).drop("short")
+    return found.filter("short = 0").select("index_id", "a", "b").distinct(), rest
 
 
 def copies(rows: DataFrame, trees: int = TREES) -> DataFrame:
@@ -242,19 +281,109 @@ def cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("index_id", "a", "b", "x", "y").mapInArrow(run, f"{_PAIR}, cosine double")
 
 
-def similar(vectors: DataFrame, index: DataFrame, k: int = 10, min_cosine: float = 0.9, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to ``ROWS`` ids and unit vectors of one index."""
+    held: dict[int, list] = {}
+
+    def out(i: int) -> pa.RecordBatch:
+        vid, u = (np.concatenate(x) for x in zip(*held.pop(i)))
+        vid, first = np.unique(vid, return_index=True)
+        raw = u[first].tobytes()
+        return pa.RecordBatch.from_pydict({"index_id": pa.array([i], pa.int32()), "block": [hash((i, len(vid), raw))], "vid": [vid.tobytes()], "vec": [raw]})
+
+    for b in batches:
+        for i, vid, u in _matrices(b):
+            for at in range(0, len(vid), ROWS):
+                held.setdefault(i, []).append((vid[at : at + ROWS], u[at : at + ROWS]))
+                if sum(len(v) for v, _ in held[i]) >= ROWS:
+                    yield out(i)
+    for i in list(held):
+        yield out(i)
+
+
+def _better(best: tuple, u: np.ndarray, vid: np.ndarray, v: np.ndarray, other: np.ndarray) -> None:
+    """Puts what ``v`` has among the best ids and cosines of ``u``."""
+    ids, cos = best
+    k = ids.shape[1]
+    v32 = v.astype(np.float32).T
+    for at in range(0, len(u), 1024):
+        mine, my_ids, my_cos = u[at : at + 1024], ids[at : at + 1024], cos[at : at + 1024]
+        s = mine.astype(np.float32) @ v32
+        least = my_cos[:, -1].copy()
+        if len(other) > k + 1 and np.isinf(least).any():  # its own id may be among them
+            least = np.maximum(least, np.partition(s, len(other) - k - 1, axis=1)[:, len(other) - k - 1])
+        r, c = np.nonzero(s >= (least - 5e-6)[:, None])
+        keep = vid[at + r] != other[c]
+        r, c = r[keep], c[keep]
+        if not len(r):
+            continue
+        exact = np.concatenate([np.einsum("ij,ij->i", mine[r[j : j + 65536]], v[c[j : j + 65536]]) for j in range(0, len(r), 65536)])
+        r0, k0 = np.nonzero(np.isfinite(my_cos))
+        row, got, value = np.r_[r0, r], np.r_[my_ids[r0, k0], other[c]], np.r_[my_cos[r0, k0], exact]
+        order = np.lexsort((got, row))
+        order = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (got[order][1:] != got[order][:-1])]]
+        order = order[np.lexsort((got[order], -value[order], row[order]))]
+        row, got, value = row[order], got[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        my_ids[row[keep], place[keep]], my_cos[row[keep], place[keep]] = got[keep], value[keep]
+
+
+def exact(rows: DataFrame, many: DataFrame, k: int, rest: DataFrame | None = None) -> DataFrame:
+    """``index_id, rep, other, cosine``: the ``k`` most similar classes of each
+    class in ``rest`` (of every class, if None), by comparison with all."""
+    spark = rows.sparkSession
+    reps = join_bounded(rows, many.filter("vid <> rep").select("index_id", "vid"), ["index_id", "vid"], "left_anti")
+    form = "index_id int, block bigint, vid binary, vec binary"
+    blocks = write_stage(reps.mapInArrow(_pack, form), "blocks")
+    asked = blocks if rest is None else write_stage(join_bounded(reps, rest.withColumnRenamed("rep", "vid"), ["index_id", "vid"], "left_semi").mapInArrow(_pack, form), "asked")
+    every = blocks.coalesce(max(1, blocks.count() // 256)).select("index_id", F.col("vid").alias("other"), F.col("vec").alias("against"))
+    both = asked.hint("shuffle_replicate_nl").join(every, "index_id").select("index_id", "block", "vid", "vec", "other", "against")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        for b in batches:
+            for i, block, vid, vec, other, against in zip(*(c.to_pylist() for c in b.columns)):
+                vid, other = np.frombuffer(vid, np.int64), np.frombuffer(other, np.int64)
+                u, v = np.frombuffer(vec).reshape(len(vid), -1), np.frombuffer(against).reshape(len(other), -1)
+                if (i, block) not in held:
+                    held[i, block] = vid, (np.zeros((len(vid), k), np.int64), np.full((len(vid), k), -np.inf))
+                _better(held[i, block][1], u, vid, v, other)
+        for (i, _), (vid, (ids, cos)) in held.items():
+            r, c = np.nonzero(np.isfinite(cos))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), i, np.int32)), pa.array(vid[r]), pa.array(ids[r, c]), pa.array(cos[r, c])], names=["index_id", "rep", "other", "cosine"])
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "8")  # a row holds two blocks
+    try:
+        return write_stage(both.mapInArrow(run, "index_id int, rep bigint, other bigint, cosine double"), "exact")
+    finally:
+        spark.conf.set(size, before)
+
+
+def similar(vectors: DataFrame, index: DataFrame, k: int = 10, min_cosine: float | None = 0.9, trees: int = TREES, reach: int = REACH) -> DataFrame:
     """``index_id int, vid bigint, neighbour bigint, cosine double``: for every
     usable vector its ``k`` most similar ones of other ids in its index among
-    those of cosine ``min_cosine`` or more, the smaller id first at ties."""
+    those of cosine ``min_cosine`` or more, the smaller id first at ties. With
+    None there is no least cosine, and all are compared with all."""
     rows = usable(vectors, index).select(F.col("index_id").cast("int").alias("index_id"), "vid", "fvector")
-    pairs = write_stage(candidates(rows, min_cosine, trees, reach), "pairs")
-    near = write_stage(cosines(pairs, rows).filter(F.col("cosine") >= min_cosine), "near")
     many = write_stage(copies(rows, trees), "members")
     # the first k + 1 ids of each class stand for it wherever it is a neighbour
     w = Window.partitionBy("index_id", "rep").orderBy("vid")
     firsts = many.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k + 1).groupBy("index_id", "rep").agg(F.array_sort(F.collect_list("vid")).alias("ids"))
     firsts = write_stage(firsts, "firsts")
-    directed = near.select("index_id", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("p"), "cosine").select("index_id", "p.rep", "p.other", "cosine")
+    if min_cosine is None:
+        directed = exact(rows, many, k)
+    else:
+        pairs, rest = candidates(rows, min_cosine, trees, reach)
+        near = write_stage(cosines(write_stage(pairs, "pairs"), rows), "near")
+        directed = near.select("index_id", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("p"), "cosine").select("index_id", "p.rep", "p.other", "cosine")
+        rest = write_stage(rest, "rest")
+        if not rest.isEmpty():
+            directed = directed.unionByName(exact(rows, many, k, rest))
+        directed = directed.filter(F.col("cosine") >= min_cosine)
+    directed = directed.groupBy("index_id", "rep", "other").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("index_id", "rep").orderBy(F.desc("cosine"), "other")
     directed = directed.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k)
     wide = directed.join(firsts.select("index_id", F.col("rep").alias("other"), "ids"), ["index_id", "other"], "left")

@@ -60,3 +60,28 @@ def test_leaves_follow_density():
     s = np.sort(np.concatenate([np.full(50, 7, np.uint64), np.arange(50, dtype=np.uint64) << np.uint64(58)]))
     bounds = N._split(s, 0, 0, 10)
     assert bounds[0] == 0 and bounds == sorted(bounds) and len(bounds) > 8
+
+
+def best(rows, index, k, least):
+    """As ``exact`` for usable rows of one index, with arrays."""
+    vec = {r[0]: np.array(r[3], float) for r in rows if r[2] == "f" and r[3] is not None}
+    ids = np.array(sorted(vec))
+    m = np.array([vec[i] / np.linalg.norm(vec[i]) for i in ids])
+    s = np.round(m @ m.T, 9)
+    np.fill_diagonal(s, -9)
+    at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return {(index, int(ids[i]), int(ids[j])) for i, js in enumerate(at) for j in js if s[i, j] >= least}
+
+
+def frames(spark, rows):
+    return spark.createDataFrame(rows, "vid long, label string, field_name string, fvector array<float>"), spark.createDataFrame(INDEX, "index_id int, label string, field_name string, dimension int")
+
+
+def test_dense_group(spark):
+    """A third of an index are near, not equal, copies of one vector."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    rows = [(i, "A", "f", (centre + 0.05 * rng.standard_normal(16) if i % 3 == 0 else rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(6000)]
+    got = {(r.index_id, r.vid, r.neighbour) for r in N.similar(*frames(spark, rows), k=5).collect()}
+    want = best(rows, 1, 5, 0.9)
+    assert len(want) >= 10000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
