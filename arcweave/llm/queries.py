@@ -9,16 +9,16 @@ from arcweave.llm import bpe, leakage, neighbours, quantiles, repetition, trunca
 from arcweave.runtime import table, write_stage
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.similar(table(spark, d, "proto_field_data"), table(spark, d, "vector_index"))
+def _similar(spark: SparkSession, d: str, min_cosine: float | None) -> DataFrame:
+    return neighbours.similar(table(spark, d, "proto_field_data"), table(spark, d, "vector_index"), min_cosine=min_cosine)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d).select("index_id", F.least("vid", "neighbour").alias("vid_a"), F.greatest("vid", "neighbour").alias("vid_b")).distinct()
+    return _similar(spark, d, 0.9).select("index_id", F.least("vid", "neighbour").alias("vid_a"), F.greatest("vid", "neighbour").alias("vid_b")).distinct()
 
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d).select("index_id", "vid", "neighbour", F.round("cosine", 6).alias("cosine"))
+    return _similar(spark, d, None).select("index_id", "vid", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:

@@ -85,3 +85,13 @@ def test_dense_group(spark):
     got = {(r.index_id, r.vid, r.neighbour) for r in N.similar(*frames(spark, rows), k=5).collect()}
     want = best(rows, 1, 5, 0.9)
     assert len(want) >= 10000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_no_least_cosine(spark):
+    """Every usable vector gets its k, however far they are."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "A", "f", rng.standard_normal(16).astype(np.float32).tolist()) for i in range(3000)] + [(5000 + i, "A", "f", [1.0] * 16) for i in range(40)] + [(7, "A", "g", [1.0] * 24), (8, "A", "g", [-1.0] * 24), (9, "A", "f", None)]
+    rows += rows[:20]
+    got = {(r.index_id, r.vid, r.neighbour) for r in N.similar(*frames(spark, rows), k=5, min_cosine=None).collect()}
+    want = best(rows, 1, 5, -2.0) | {(2, 7, 8), (2, 8, 7)}
+    assert len(want) == 3040 * 5 + 2 and len(got & want) >= 0.999 * len(want) and len(got) == len(want)
