@@ -61,8 +61,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    measured = write_stage(repetition.measure(table(spark, d, "documents"), stratum="lang"), "p9")
-    return repetition.repetitive(measured, repetition.fit_cutoffs(measured)).select("doc_id")
+    docs = table(spark, d, "documents")
+    return repetition.repetitive(docs, repetition.fit_cutoffs(docs, stratum="lang"), stratum="lang")
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:
