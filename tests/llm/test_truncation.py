@@ -58,3 +58,44 @@ def test_shares_and_empty(spark):
     got = {r.source: (r.n_values, r.n_cut) for r in T.share_by_source(df).collect()}
     assert got["feed"][1] == 1 and got["press"][1] == 0 and None in got
     assert T.truncated(df.filter("false")).count() == 0
+
+
+def by(spark, rows):
+    df = spark.createDataFrame(rows, "id long, source string, summary string, tagline string")
+    return {(r.id, r.field_name): r.by for r in T.judge(df, "id", ["summary", "tagline"], "source").collect()}
+
+
+def test_spikes_flag_and_endings_do_the_rest(spark):
+    """At a feed's limit the spike flags; elsewhere the ending decides."""
+    rows, limit = corpus(), 57
+    for i in range(40):
+        text = f"Number {i:02d} of a tale that goes on and {['on', 'up', 'out'][i % 3]} and on and then {ENDS[i % 4]}"
+        rows.append((3000 + i, "limited", text[:limit], None))
+    rows.append((3900, "limited", "Once number 4 waits, and the old hou", None))
+    rows.append((3901, "limited", ("Once number 4 waits, and nobody comes back home." + " " * 20)[:limit], None))  # whole at the limit
+    got = by(spark, rows)
+    assert all(got[3000 + i, "summary"] == "spike" for i in range(40))
+    assert got[3900, "summary"] == "ending" and got[3901, "summary"] is None
+
+
+def test_known_endings_that_pile_up(spark):
+    """Unmarked values at a known ending are whole unless they pile up at a
+    limit where values of that length with a mark don't."""
+    rows = [(k, "feed", None, ENDS[k % 4][: -1 if k // 4 % 2 else None]) for k in range(400)]
+    rows += [(1000 + k, "feed", None, f"It was a long year {k:02d} and nobody comes back home") for k in range(30)]
+    rows += [(2000 + k, "feed", None, f"It was a long year {k:02d} and nobody ever comes back home"[:48]) for k in range(5)]
+    got = by(spark, rows)
+    assert all(got[k, "tagline"] is None for k in range(400))
+    assert all(got[1000 + k, "tagline"] == "spike" for k in range(30))
+
+
+def test_a_natural_ellipsis_at_a_limit(spark):
+    """A feed that marks its cuts with dots doesn't make an ellipsis a cut."""
+    rows, limit = corpus(), 60
+    for i in range(40):
+        text = f"Number {i:02d} of a long tale that goes on and on and on and {ENDS[i % 4]}"
+        rows.append((3000 + i, "cutter", text[: limit - 3] + "...", None))
+    whole = "Later it so happens on a very quiet day nobody comes back home…"
+    rows.append((3999, "cutter", whole[len(whole) - limit + 2 :].capitalize(), None))
+    got = by(spark, rows)
+    assert got[3000, "summary"] == "spike" and got[3999, "summary"] is None
