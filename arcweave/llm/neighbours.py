@@ -1,19 +1,29 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-Each of ``TREES`` trees gives a vector a string of 64 bits, the signs of random
-projections. A tree is a sorted array of these strings, kept as leaves of a
-trie: prefixes of variable length, as long as the data are dense there, fitted
-on a bounded sample and applied to every vector. In a leaf every vector steps
-outward from its place: ``REACH`` places each way, and on until the common
-prefix is shorter than ``PREFIX`` bits, so that the budget grows with the
-density around it. What is met is held against a separate 128-bit signature,
-and only pairs whose signatures allow the wanted cosine become candidates.
-Their cosines are then computed exactly from the vectors.
+A tree gives a vector a string of 64 bits, the signs of random projections, and
+is a sorted array of these strings. In every tree a vector descends to its
+longest match, its place in the order; from there all trees are ascended in
+step, a bit of common prefix less at a time, until the candidates met in all of
+them together reach a budget of ``BUDGET`` per tree: the level at which a vector
+stops is one number for all trees, deep where data are dense and shallow where
+they are thin. (A tree counts for no more than twice its share, so that one
+crowded prefix can't end the ascent of the rest.) How many share a prefix is
+read off a bounded sample of the strings that every task has; so the level is
+known when the strings are made, and each tree can be searched by itself.
+
+The number of trees grows with the size of an index: a pair at the least cosine
+agrees in a bit with chance p, and n vectors meet their budget at log2(n /
+BUDGET) bits, so ``trees_for`` takes as many as make a meeting in at least one
+as likely as ``RECALL``. A tree is cut into leaves, prefixes of variable length
+fitted on the same sample and applied to every vector, one task each. In a leaf
+every vector meets its prefix bucket at its level. What is met is held against
+a separate 128-bit signature, and only pairs whose signatures allow the wanted
+cosine become candidates. Their cosines are then computed exactly.
 
 Signatures can't rank the members of a dense group. A vector that meets
-``REACH / 2`` candidates in one tree, or whose prefix bucket is too large
-(``FARTHEST``) in ``SHORT`` trees, is compared with its whole index instead, in
-blocks of matrix products; so is every vector where no least cosine is given.
+``DENSE`` candidates in one tree, or whose bucket is too large (``FARTHEST``) or
+reaches over its leaf in a quarter of the trees, is compared with its whole
+index instead, in blocks of matrix products; so is every vector where no least cosine is given.
 That is exact, and its cost is the number of such vectors times the index.
 
 Equal vectors (after normalisation) are one class: a class enters the forest
@@ -45,17 +55,20 @@ from pyspark.sql import functions as F
 
 from arcweave.runtime import join_bounded, write_stage
 
-TREES = 16
-REACH = 96
-#: Bits of the prefix down to which a vector's surroundings are searched in each tree, and the most places for that.
-PREFIX = 12
+#: Candidates per tree at which the ascent ends.
+BUDGET = 256
+#: The chance for a pair at the least cosine to meet, from which the number of trees follows, and the fewest trees.
+RECALL, FEWEST = 0.995, 8
+#: The places of a bucket that are searched, at most; beyond, the tree counts as not searched to its end.
 FARTHEST = 4096
-#: Trees not searched to that prefix, from which a vector is compared with its whole index.
-SHORT = 4
+#: Candidates met in one tree from which a vector is compared with its whole index.
+DENSE = 48
+#: Levels whose prefixes are counted in the sample; deeper ones are taken to halve.
+COUNTED = 16
 #: Vectors of a block of the exact comparison.
 ROWS = 2048
-#: Vectors of the sample that the leaves are fitted on, at most (about).
-SAMPLE_ROWS = 20_000
+#: Vectors of the sample that levels and leaves are fitted on, at most (about), of all indexes together.
+SAMPLE_ROWS = 100_000
 #: Classes a leaf should hold at most (about).
 LEAF = 50_000
 #: Vectors a task hashes before it sends its blocks off.
@@ -65,9 +78,13 @@ _SIG = 128
 
 
 @lru_cache(maxsize=16)
-def _planes(dim: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((dim, 64 * trees + _SIG), np.float32), rng.integers(1, 1 << 63, dim, np.uint64) * np.uint64(2) + np.uint64(1)
+def _planes(dim: int, trees: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, 64 * trees + _SIG), np.float32)
+
+
+@lru_cache(maxsize=16)
+def _odd(dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim, 1]).integers(1, 1 << 63, dim, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,18 +99,18 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bits(u: np.ndarray, trees: int) -> np.ndarray:
     """Strings of all trees, then the signature, as columns of 64-bit words."""
     out = []
-    planes = _planes(u.shape[1], trees)[0]
+    planes = _planes(u.shape[1], trees)
     for at in range(0, len(u), 4096):
         packed = np.packbits(u[at : at + 4096].astype(np.float32) @ planes > 0, axis=1)
         out.append(packed.view(">u8").astype(np.uint64))
     return np.concatenate(out) if out else np.zeros((0, trees + _SIG // 64), np.uint64)
 
 
-def _classes(u: np.ndarray, trees: int) -> np.ndarray:
+def _classes(u: np.ndarray) -> np.ndarray:
     """One number per distinct unit vector (at a grain of 1e-6)."""
     with np.errstate(over="ignore"):
         q = np.rint(u * 1e6).astype(np.int64).astype(np.uint64)
-        h = (q * _planes(u.shape[1], trees)[1]).sum(axis=1, dtype=np.uint64)
+        h = (q * _odd(u.shape[1])).sum(axis=1, dtype=np.uint64)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
@@ -121,22 +138,61 @@ def usable(vectors: DataFrame, index: DataFrame) -> DataFrame:
     return join_bounded(rows, ix, ["label", "field_name"]).filter(F.size("fvector") == F.col("dimension")).filter("dimension > 0").select("index_id", "vid", "fvector")
 
 
-def fit_leaves(rows: DataFrame, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf: int = LEAF) -> dict[int, list[np.ndarray]]:
-    """The lower bounds of the leaves of each tree of each index. A leaf is a
-    prefix, split while it is expected to hold more than ``leaf`` classes."""
-    total = rows.count()
-    share = min(1.0, sample_rows / max(1, total))
-    some = rows if share == 1 else rows.filter(F.pmod(F.xxhash64("vid"), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
-    table = some.toArrow()
+def trees_for(n: int, min_cosine: float, budget: int = BUDGET, recall: float = RECALL) -> int:
+    """The trees with which a pair at ``min_cosine`` among ``n`` vectors meets
+    with a chance of ``recall``."""
+    p = 1 - math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
+    met = min(p ** max(0.0, math.log2(max(1, n) / budget)), 1 - 1e-9)
+    return max(FEWEST, math.ceil(math.log(1 - recall) / math.log1p(-met)))
+
+
+class Forest:
+    """The trees of one index: leaves and, per tree and level, how many vectors
+    (estimated from a sample) have each prefix."""
+
+    def __init__(self, trees: int, strings: np.ndarray | None = None, share: float = 1.0, leaf: int = LEAF, budget: int = BUDGET):
+        self.trees, self.budget = trees, budget
+        self.leaves = [np.zeros(1, np.uint64)] * trees
+        self.counts: list[list[np.ndarray]] = []
+        if strings is None or not len(strings):
+            return
+        self.leaves = [np.array(_split(np.sort(strings[:, t]), 0, 0, leaf * share), np.uint64) for t in range(trees)]
+        self.share = share
+        for x in range(1, min(COUNTED, max(1, (len(strings) - 1).bit_length())) + 1):
+            one = [np.bincount((strings[:, t] >> np.uint64(64 - x)).astype(np.int64), minlength=1 << x) for t in range(trees)]
+            self.counts.append([np.minimum(c, math.ceil(2 * budget * share)).astype(np.uint16) for c in one])
+
+    def levels(self, strings: np.ndarray) -> np.ndarray:
+        """Where each vector's ascent ends: the deepest level at which its
+        buckets of all trees together hold the budget."""
+        out, want = np.zeros(len(strings), np.int64), self.budget * self.trees
+        total = np.zeros(len(strings), np.float32)
+        for x, counts in enumerate(self.counts, 1):
+            total = np.zeros(len(strings), np.float32)
+            for t in range(self.trees):
+                total += counts[t][(strings[:, t] >> np.uint64(64 - x)).astype(np.int64)]
+            total /= self.share
+            out[total >= want] = x
+        deep = (total >= want) & (len(self.counts) > 0)
+        out[deep] += np.log2(total[deep] / want).astype(np.int64)
+        return out.astype(np.uint8)
+
+
+def fit_forests(rows: DataFrame, min_cosine: float, sample_rows: int = SAMPLE_ROWS, leaf: int = LEAF, budget: int = BUDGET, recall: float = RECALL) -> dict[int, Forest]:
+    """The forest of each index, fitted on a hashed sample of about
+    ``sample_rows`` vectors of them all; an index that the sample misses is
+    one bucket."""
+    sizes = {r["index_id"]: r["count"] for r in rows.groupBy("index_id").count().collect()}  # a row per index
+    if not sizes:
+        return {}
+    share = min(1.0, sample_rows / sum(sizes.values()))
+    some = rows if share == 1 else rows.filter(F.pmod(F.xxhash64("vid"), F.lit(1 << 40)) < F.lit(max(1, int(share * (1 << 40)))))
+    trees = {i: trees_for(n, min_cosine, budget, recall) for i, n in sizes.items()}
     strings: dict[int, list[np.ndarray]] = {}
-    for b in table.to_batches():
+    for b in some.toArrow().to_batches():
         for i, _, u in _matrices(b):
-            strings.setdefault(i, []).append(np.unique(_bits(u, trees)[:, :trees], axis=0))
-    out = {}
-    for i, parts in strings.items():
-        s = np.concatenate(parts)
-        out[i] = [np.array(_split(np.sort(s[:, t]), 0, 0, leaf * share), np.uint64) for t in range(trees)]
-    return out
+            strings.setdefault(i, []).append(np.unique(_bits(u, trees[i])[:, : trees[i]], axis=0))
+    return {i: Forest(trees[i], np.concatenate(strings[i]) if i in strings else None, share, leaf, budget) for i in sizes}
 
 
 def _split(strings: np.ndarray, low: int, depth: int, most: float) -> list[int]:
@@ -154,37 +210,37 @@ def most_different(min_cosine: float) -> int:
     return min(_SIG, math.ceil(_SIG * p + 3.5 * math.sqrt(_SIG * p * (1 - p))))
 
 
-_BLOCK = "index_id int, tree int, leaf int, n int, vid binary, class binary, string binary, sig binary"
+_BLOCK = "index_id int, tree int, leaf int, n int, vid binary, class binary, string binary, sig binary, level binary"
 _PAIR = "index_id int, a bigint, b bigint"
 
 
-def _leaf_search(frame: pd.DataFrame, reach: int, differ: int, leaves: dict) -> pd.DataFrame:
+def _leaf_search(frame: pd.DataFrame, differ: int, forests: dict[int, Forest]) -> pd.DataFrame:
     """The candidate pairs of one leaf, and (as ``a`` with ``short`` > 0) the
-    classes whose bucket this tree can't search to its end."""
+    classes whose bucket this tree can't search to its end; the shorts of a
+    class over all trees sum up to 1 where it has to be compared with all."""
     get = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
-    vid, klass, string, sig = get("vid", np.int64), get("class", np.int64), get("string", np.uint64), get("sig", np.uint64).reshape(-1, 2)
+    vid, klass, string, sig, level = get("vid", np.int64), get("class", np.int64), get("string", np.uint64), get("sig", np.uint64).reshape(-1, 2), get("level", np.uint8)
     order = np.lexsort((vid, klass))
     order = order[np.r_[True, klass[order][1:] != klass[order][:-1]]]  # the smallest id stands for its class
     order = order[np.lexsort((klass[order], string[order]))]
-    vid, x, y, string = vid[order], sig[order, 0], sig[order, 1], string[order]
+    vid, x, y, string, level = vid[order], sig[order, 0], sig[order, 1], string[order], level[order].astype(np.uint64)
     i, t, k = (int(frame[c].iloc[0]) for c in ("index_id", "tree", "leaf"))
-    bounds = leaves[i][t] if i in leaves else np.zeros(1, np.uint64)
-    deep = (int(bounds[k + 1]) if k + 1 < len(bounds) else 1 << 64) - int(bounds[k]) < 1 << (64 - PREFIX)
-    here = np.arange(len(vid))
-    bucket = string >> np.uint64(64 - PREFIX)
-    up, down = np.searchsorted(bucket, bucket, "right") - 1 - here, here - np.searchsorted(bucket, bucket)
-    found, hits, dense = [], np.zeros(len(vid), np.int64), np.zeros(len(vid), bool)
-    active, most = here, min(reach if deep else FARTHEST, len(vid) - 1)
-    for step in range(1, most + 1):
-        if step <= reach:
-            i0 = here[: len(vid) - step]
-        else:
-            if step % 32 == 1 or step == reach + 1:
-                dense = hits >= reach // 2
-            active = active[up[active] >= step]
-            if not len(active):
-                break
-            i0 = active[~(dense[active] & dense[active + step])]
+    forest = forests[i]
+    bounds = forest.leaves[t]
+    width = (int(bounds[k + 1]) if k + 1 < len(bounds) else 1 << 64) - int(bounds[k])
+    here, n = np.arange(len(vid)), len(vid)
+    rest = np.where(level == 0, ~np.uint64(0), (np.uint64(1) << (np.uint64(64) - np.maximum(level, 1))) - np.uint64(1))  # the bits below the level
+    up, down = np.searchsorted(string, string | rest, "right") - 1 - here, here - np.searchsorted(string, string & ~rest)
+    beyond = (rest > np.uint64(width - 1)) | (np.maximum(up, down) > FARTHEST // 2)
+    up, down = np.minimum(up, FARTHEST // 2), np.minimum(down, FARTHEST // 2)
+    found, hits = [], np.zeros(n, np.int64)
+    above, below = here, here
+    for step in range(1, int(max(up.max(initial=0), down.max(initial=0))) + 1):
+        above, below = above[up[above] >= step], below[down[below] >= step]
+        only = below[up[below - step] < step] - step  # pairs that only their upper end searches
+        i0 = np.concatenate([above, only]) if len(only) else above
+        if not len(i0):
+            break
         i1 = i0 + step
         ok = np.bitwise_count(x[i0] ^ x[i1]) + np.bitwise_count(y[i0] ^ y[i1]) <= differ
         i0, i1 = i0[ok], i1[ok]
@@ -192,19 +248,22 @@ def _leaf_search(frame: pd.DataFrame, reach: int, differ: int, leaves: dict) ->
             hits[i0] += 1
             hits[i1] += 1
             found.append(np.stack([vid[i0], vid[i1]]))
+        if step % 32 == 0:  # a dense vector needn't search on
+            up[hits >= DENSE] = down[hits >= DENSE] = 0
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     pairs = pairs[:, pairs[0] != pairs[1]]
-    short = np.where(hits >= reach // 2, SHORT, np.where(deep | (np.maximum(up, down) > max(FARTHEST, reach)), 1, 0))
-    rest = np.flatnonzero(short)
-    none = np.zeros(pairs.shape[1], np.int64)
-    return pd.DataFrame({"index_id": np.full(pairs.shape[1] + len(rest), i, np.int32), "a": np.r_[pairs.min(axis=0), vid[rest]], "b": np.r_[pairs.max(axis=0), vid[rest]], "short": np.r_[none, short[rest]].astype(np.int32)})
+    short = np.where(hits >= DENSE, 1.0, np.where(beyond, 1 / math.ceil(forest.trees / 4), 0.0))
+    left = np.flatnonzero(short)
+    none = np.zeros(pairs.shape[1])
+    return pd.DataFrame({"index_id": np.full(pairs.shape[1] + len(left), i, np.int32), "a": np.r_[pairs.min(axis=0), vid[left]], "b": np.r_[pairs.max(axis=0), vid[left]], "short": np.r_[none, short[left]]})
 
 
-def candidates(rows: DataFrame, min_cosine: float, trees: int = TREES, reach: int = REACH, leaves: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def candidates(rows: DataFrame, min_cosine: float, **sizes: float) -> tuple[DataFrame, DataFrame]:
     """``index_id, a, b``: pairs of class representatives (their smallest
     ids), a < b, each once, whose cosine may reach ``min_cosine``; and
-    ``index_id, rep``: the classes in places too dense for the trees."""
-    leaves = fit_leaves(rows, trees) if leaves is None else leaves
+    ``index_id, rep``: the classes in places too dense for the trees.
+    ``sizes``: of ``fit_forests``."""
+    shipped = rows.sparkSession.sparkContext.broadcast(fit_forests(rows, min_cosine, **sizes))
     differ = most_different(min_cosine)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,41 +276,42 @@ def candidates(rows: DataFrame, min_cosine: float, trees: int = TREES, reach: in
                 order = np.lexsort((vid, klass))
                 order = order[np.r_[True, klass[order][1:] != klass[order][:-1]]]
                 vid, klass, bits = vid[order], klass[order], bits[order]
+                forest = shipped.value[i]
+                level = forest.levels(bits)
                 made = []
-                for t in range(trees):
+                for t in range(forest.trees):
                     order = np.argsort(bits[:, t], kind="stable")
-                    bounds = leaves[i][t] if i in leaves else np.zeros(1, np.uint64)
-                    cut = np.searchsorted(bits[order, t], bounds)
+                    cut = np.searchsorted(bits[order, t], forest.leaves[t])
                     for k, part in enumerate(np.split(order, cut[1:])):
                         if len(part):
-                            made.append({"index_id": i, "tree": t, "leaf": k, "n": len(part), "vid": vid[part].tobytes(), "class": klass[part].tobytes(), "string": bits[part, t].tobytes(), "sig": np.ascontiguousarray(bits[part, trees:]).tobytes()})
+                            made.append({"index_id": i, "tree": t, "leaf": k, "n": len(part), "vid": vid[part].tobytes(), "class": klass[part].tobytes(), "string": bits[part, t].tobytes(), "sig": np.ascontiguousarray(bits[part, forest.trees :]).tobytes(), "level": level[part].tobytes()})
                 yield pa.RecordBatch.from_pylist(made, schema=schema)
             held.clear()
 
         i32, raw = pa.int32(), pa.binary()
-        schema = pa.schema([("index_id", i32), ("tree", i32), ("leaf", i32), ("n", i32), ("vid", raw), ("class", raw), ("string", raw), ("sig", raw)])
+        schema = pa.schema([("index_id", i32), ("tree", i32), ("leaf", i32), ("n", i32), ("vid", raw), ("class", raw), ("string", raw), ("sig", raw), ("level", raw)])
         for b in batches:
             for i, vid, u in _matrices(b):
-                held.setdefault(i, []).append((vid, _classes(u, trees), _bits(u, trees)))
+                held.setdefault(i, []).append((vid, _classes(u), _bits(u, shipped.value[i].trees)))
                 n += len(vid)
             if n >= HELD:
                 yield from out()
                 n = 0
         yield from out()
 
-    found = rows.mapInArrow(blocks, _BLOCK).groupBy("index_id", "tree", "leaf").applyInPandas(lambda f: _leaf_search(f, reach, differ, leaves), f"{_PAIR}, short int")
+    found = rows.mapInArrow(blocks, _BLOCK).groupBy("index_id", "tree", "leaf").applyInPandas(lambda f: _leaf_search(f, differ, shipped.value), f"{_PAIR}, short double")
     found = write_stage(found, "met")
-    rest = found.filter("short > 0").groupBy("index_id", F.col("a").alias("rep")).agg(F.sum("short").alias("short")).filter(F.col("short") >= SHORT).drop("short")
+    rest = found.filter("short > 0").groupBy("index_id", F.col("a").alias("rep")).agg(F.sum("short").alias("short")).filter("short > 0.999").drop("short")
     return found.filter("short = 0").select("index_id", "a", "b").distinct(), rest
 
 
-def copies(rows: DataFrame, trees: int = TREES) -> DataFrame:
+def copies(rows: DataFrame) -> DataFrame:
     """``index_id, rep, vid`` of the classes with more than one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, vid, u in _matrices(b):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vid), i, np.int32)), pa.array(vid), pa.array(_classes(u, trees))], names=["index_id", "vid", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vid), i, np.int32)), pa.array(vid), pa.array(_classes(u))], names=["index_id", "vid", "class"])
 
     each = rows.mapInArrow(run, "index_id int, vid bigint, class bigint")
     # of a class with one id no row needs to leave the first step; equal (class, id) are put together before the shuffle
@@ -265,7 +325,7 @@ def cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     ends = write_stage(pairs.select("index_id", F.explode(F.array("a", "b")).alias("vid")).distinct(), "ends")
     vec = rows.withColumn("usable", F.forall("fvector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("fvector", lambda x: x != 0)).filter("usable")
     vec = join_bounded(vec.drop("usable"), ends, ["index_id", "vid"], salts=1)
-    vec = write_stage(vec.groupBy("index_id", "vid").agg(F.first("fvector").alias("fvector")), "vectors")
+    vec = write_stage(vec.groupBy("index_id", "vid").agg(F.min_by("fvector", F.xxhash64("fvector")).alias("fvector")), "vectors")
     both = pairs.join(vec.select("index_id", F.col("vid").alias("a"), F.col("fvector").alias("x")), ["index_id", "a"]).join(vec.select("index_id", F.col("vid").alias("b"), F.col("fvector").alias("y")), ["index_id", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,13 +422,14 @@ def exact(rows: DataFrame, many: DataFrame, k: int, rest: DataFrame | None = Non
         spark.conf.set(size, before)
 
 
-def similar(vectors: DataFrame, index: DataFrame, k: int = 10, min_cosine: float | None = 0.9, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def similar(vectors: DataFrame, index: DataFrame, k: int = 10, min_cosine: float | None = 0.9, **sizes: float) -> DataFrame:
     """``index_id int, vid bigint, neighbour bigint, cosine double``: for every
     usable vector its ``k`` most similar ones of other ids in its index among
     those of cosine ``min_cosine`` or more, the smaller id first at ties. With
-    None there is no least cosine, and all are compared with all."""
+    None there is no least cosine, and all are compared with all. ``sizes``: of
+    ``fit_forests``."""
     rows = usable(vectors, index).select(F.col("index_id").cast("int").alias("index_id"), "vid", "fvector")
-    many = write_stage(copies(rows, trees), "members")
+    many = write_stage(copies(rows), "members")
     # the first k + 1 ids of each class stand for it wherever it is a neighbour
     w = Window.partitionBy("index_id", "rep").orderBy("vid")
     firsts = many.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k + 1).groupBy("index_id", "rep").agg(F.array_sort(F.collect_list("vid")).alias("ids"))
@@ -376,7 +437,7 @@ def similar(vectors: DataFrame, index: DataFrame, k: int = 10, min_cosine: float
     if min_cosine is None:
         directed = exact(rows, many, k)
     else:
-        pairs, rest = candidates(rows, min_cosine, trees, reach)
+        pairs, rest = candidates(rows, min_cosine, **sizes)
         near = write_stage(cosines(write_stage(pairs, "pairs"), rows), "near")
         directed = near.select("index_id", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("p"), "cosine").select("index_id", "p.rep", "p.other", "cosine")
         rest = write_stage(rest, "rest")

@@ -95,3 +95,45 @@ def test_no_least_cosine(spark):
     got = {(r.index_id, r.vid, r.neighbour) for r in N.similar(*frames(spark, rows), k=5, min_cosine=None).collect()}
     want = best(rows, 1, 5, -2.0) | {(2, 7, 8), (2, 8, 7)}
     assert len(want) == 3040 * 5 + 2 and len(got & want) >= 0.999 * len(want) and len(got) == len(want)
+
+
+def planted(n, dim, low, high, seed):
+    """Random vectors, of which every tenth has a partner at a cosine between low and high."""
+    rng = np.random.default_rng(seed)
+    m = rng.standard_normal((n, dim)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    a = np.arange(0, n - 1, 10)
+    r = m[a + 1] - (m[a + 1] * m[a]).sum(1, keepdims=True) * m[a]
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (len(a), 1)).astype(np.float32)
+    m[a + 1] = c * m[a] + np.sqrt(1 - c * c) * r
+    return m, {(int(i), int(i) + 1) for i in a}
+
+
+def test_many_leaves_and_levels(spark):
+    """Small leaves and a small budget make every tree a forest of many leaves and deep levels."""
+    m, pairs = planted(6000, 32, 0.9, 0.95, 8)
+    df = spark.createDataFrame([(i, "A", "f", v.tolist()) for i, v in enumerate(m)], "vid long, label string, field_name string, fvector array<float>")
+    index = spark.createDataFrame([(1, "A", "f", 32)], "index_id int, label string, field_name string, dimension int")
+    rows = N.usable(df, index)
+    forest = N.fit_forests(rows, 0.9, sample_rows=2000, leaf=400, budget=16)[1]
+    assert forest.trees > 15 and min(len(x) for x in forest.leaves) >= 8
+    level = forest.levels(N._bits(m.astype(float), forest.trees))
+    assert 6 <= level.mean() <= 10
+    got = {(min(r.vid, r.neighbour), max(r.vid, r.neighbour)) for r in N.similar(df, index, k=3, sample_rows=2000, leaf=400, budget=16).collect()}
+    assert len(got & pairs) >= 0.97 * len(pairs)
+
+
+def test_levels_fall_together():
+    """One crowded prefix doesn't end the ascent of the other trees."""
+    rng = np.random.default_rng(1)
+    strings = rng.integers(0, 1 << 63, (4000, 8), np.uint64) * np.uint64(2)
+    crowded = strings.copy()
+    crowded[:2000, 0] = crowded[0, 0]
+    plain, dense = N.Forest(8, strings, budget=64).levels(strings[:1]), N.Forest(8, crowded, budget=64).levels(crowded[:1])
+    assert plain[0] - 1 <= dense[0] <= plain[0] + 1 and N.Forest(8).levels(strings[:2]).tolist() == [0, 0]
+
+
+def test_trees_grow_with_the_index():
+    n = [N.trees_for(x, 0.9) for x in (100, 10**4, 10**6, 10**8)]
+    assert n == sorted(n) and n[0] == N.FEWEST and n[2] > 2 * n[1]
