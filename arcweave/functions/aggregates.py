@@ -23,22 +23,28 @@ def build(name: str, args: list[Column], types: list[T.DataType | None], distinc
     if name in ("min", "max"):
         y = x.cast("double") if compat == "reference" and isinstance(t, T.NumericType) else x
         return F.min(y) if name == "min" else F.max(y)
-    number = x.cast("double") if not isinstance(t, T.StringType) else x.try_cast("double")
+    as_number = number(x, t)
     if name == "sum":
         if compat == "reference":
-            return F.coalesce(F.sum_distinct(number) if distinct else F.sum(number), F.lit(0.0))
+            return F.coalesce(F.sum_distinct(as_number) if distinct else F.sum(as_number), F.lit(0.0))
         return F.sum_distinct(x) if distinct else F.sum(x)
     if name == "avg":
-        return F.avg(number) if not distinct else F.sum_distinct(number) / F.count_distinct(number)
-    if name in ("percentilecont", "percentiledisc"):
+        return F.avg(as_number) if not distinct else F.sum_distinct(as_number) / F.count_distinct(as_number)
+    if name == "percentilecont":
         if len(args) != 2:
             raise GraphError(f"{name} takes a value and a share")
-        p = args[1].cast("double")
-        share = F.when((p >= 0) & (p <= 1), p).otherwise(F.raise_error(F.lit("the share lies between 0 and 1")).cast("double"))
-        if name == "percentilecont":
-            return F.percentile(number, p)
-        # the value at place ceil(p * n), at least the first
-        values = F.array_sort(F.collect_list(number))
-        return F.get(values, F.greatest(F.ceil(share * F.size(values)).cast("int") - 1, F.lit(0)))
-    spread = {"stdev": F.stddev_samp, "stdevp": F.stddev_pop, "variance": F.var_samp, "variancep": F.var_pop}[name](number)
-    return F.when(F.count(number) < 2, F.lit(0.0)).otherwise(spread)
+        return F.percentile(as_number, args[1].cast("double"))
+    spread = {"stdev": F.stddev_samp, "stdevp": F.stddev_pop, "variance": F.var_samp, "variancep": F.var_pop}[name](as_number)
+    return F.when(F.count(as_number) < 2, F.lit(0.0)).otherwise(spread)
+
+
+def number(x: Column, t: T.DataType | None) -> Column:
+    return x.cast("double") if not isinstance(t, T.StringType) else x.try_cast("double")
+
+
+def percentile_disc(column: str, share: float | None) -> Column:
+    """The value at place ceil(share * n), at least the first, of a named
+    column: Spark's own aggregate, which counts values on the map side."""
+    if not isinstance(share, (int, float)) or not 0 <= share <= 1:
+        raise GraphError("percentileDisc takes a value and a share between 0 and 1")
+    return F.expr(f"percentile_disc({float(share)!r}D) WITHIN GROUP (ORDER BY `{column}`)")

@@ -52,10 +52,12 @@ def orphans(references: DataFrame, deltas: DataFrame, hot_share: float = HOT_SHA
     steps = deltas.select("kind", "key", "at", F.lit(None).cast(salted.schema["ref"].dataType).alias("ref"), "delta")
     if hot:
         is_hot = F.struct("kind", "key").isin(*[F.struct(F.lit(a).cast("string").alias("kind"), F.lit(b).cast("long").alias("key")) for a, b in hot])
-        salted = salted.withColumn("salt", F.when(is_hot, (F.rand(11) * salts).cast("int")).otherwise(0))
+        # references of no known kind need no deltas, so all of them may be spread
+        salted = salted.withColumn("salt", F.when(F.col("kind").isNull() | is_hot, (F.rand(11) * salts).cast("int")).otherwise(0))
         steps = steps.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     else:
-        salted, steps = salted.withColumn("salt", F.lit(0)), steps.withColumn("salt", F.lit(0))
+        salted = salted.withColumn("salt", F.when(F.col("kind").isNull(), (F.rand(11) * salts).cast("int")).otherwise(0))
+        steps = steps.withColumn("salt", F.lit(0))
     # a reference with delta 0 sorts after the deltas of its instant
     w = Window.partitionBy("kind", "key", "salt").orderBy(F.col("at").asc_nulls_first(), F.col("ref").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = salted.unionByName(steps).withColumn("exists_now", F.sum("delta").over(w))

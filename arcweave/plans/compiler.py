@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 
 from arcweave.functions import aggregates, scalars
 from arcweave.plans import parser as P
-from arcweave.plans.graph import EdgeTable, GraphError, PropertyGraph, common_type
+from arcweave.plans.graph import KEY_BITS, EdgeTable, GraphError, PropertyGraph, common_type
 from arcweave.runtime import cut
 
-#: Hops up to which a variable-length pattern is one plan; beyond, each hop is cut off.
+#: Hops up to which a variable-length pattern is one plan; longer ones are cut off after so many, or after each that may end.
 UNROLLED = 4
 #: Hops at which an open-ended pattern stops (fixed value of the query language).
 MAX_HOPS = 128
@@ -130,7 +130,7 @@ def has_aggregate(e: Any) -> bool:
 
 
 def has_exists(e: Any) -> bool:
-    return isinstance(e, P.Exists) or any(has_exists(x) for x in P.children(e))
+    return isinstance(e, (P.Exists, P.PatComp)) or any(has_exists(x) for x in P.children(e))
 
 
 class Compiler:
@@ -499,12 +499,44 @@ class Compiler:
             else:
                 s, part = self.marks(s, part)
                 s = self.load(s, self.needs(s, part))
-                s = Scope(s.df.filter(self.expr(s, part)), s.names)
+                keys = self.key_condition(s, part)
+                s = Scope(s.df.filter(self.expr(s, part) if keys is None else keys & self.expr(s, part)), s.names)
         return s
 
+    def key_condition(self, s: Scope, part: Any) -> Column | None:
+        """What ``id(n) = x`` and ``id(n) IN [...]`` say about the primary key,
+        which the scan can use; None if nothing."""
+        match part:
+            case P.Bin("=", P.Fn("id", [P.Var(name)]), value) | P.Bin("=", value, P.Fn("id", [P.Var(name)])):
+                values = [value]
+            case P.Bin("IN", P.Fn("id", [P.Var(name)]), P.ListLit(values)):
+                pass
+            case P.Bin("IN", P.Fn("id", [P.Var(name)]), P.Param() as given):
+                values = [P.Lit(v) for v in self.params.get(given.name) or []]
+            case _:
+                return None
+        b = s.names.get(name)
+        if not isinstance(b, Node) or not b.loaded or not all(isinstance(v, (P.Lit, P.Param)) for v in values):
+            return None
+        ids = [self.constant(v) for v in values]
+        out = F.lit(False)
+        for label in sorted(b.labels):
+            v = self.g.vertices[label]
+            if v.number is None or not all(isinstance(i, int) for i in ids):
+                return None
+            keys = [i - (v.number << KEY_BITS) for i in ids if i >> KEY_BITS == v.number]
+            if keys:
+                out = out | ((self.label_col(b) == label) & c(f"{b.name}@p@{v.primary}").isin(*keys) if b.marked else c(f"{b.name}@p@{v.primary}").isin(*keys))
+        return out
+
     def matched_keys(self, s: Scope, path: P.PathPat) -> tuple[DataFrame, list[str]]:
         """The distinct bound ends for which the pattern has a match."""
-        used = {n.var for n in path.nodes if n.var} | {v for x in P.children(P.Exists(path)) for v in P.variables(x)}
+        start, keys = self.bound_start(s, P.variables(P.Exists(path)))
+        got = self.match(start, [path], None)
+        return got.df.select(*[c(k) for k in keys]).distinct(), keys
+
+    def bound_start(self, s: Scope, used: set[str]) -> tuple[Scope, list[str]]:
+        """The distinct values of the bound variables among ``used``, and their columns."""
         shared = [n for n in sorted(used) if n in s.names]
         nodes = [n for n in shared if isinstance(s.names[n], Node)]
         others = [s.names[n].col for n in shared if isinstance(s.names[n], Value)]
@@ -514,8 +546,22 @@ class Compiler:
         for n in nodes:
             if s.names[n].nullable:
                 start = Scope(start.df.filter(c(s.names[n].id).isNotNull()), {**start.names, n: replace(start.names[n], nullable=False)})
-        got = self.match(start, [path], None)
-        return got.df.select(*[c(k) for k in keys]).distinct(), keys
+        return start, keys
+
+    def gathered(self, s: Scope, e: P.PatComp) -> tuple[Scope, Any]:
+        """A pattern comprehension as a column: the matches from the distinct
+        bound ends, their values gathered and joined back."""
+        start, keys = self.bound_start(s, P.variables(e))
+        got = self.match(start, [e.path], e.where)
+        got, out = self.marks(got, e.out)
+        got = self.load(got, self.needs(got, out))
+        name = self.new("gathered")
+        mark, v = Value(name), F.struct(self.expr(got, out).alias("v"))  # a struct, so that nulls stay
+        lists = got.df.groupBy(*[c(k) for k in keys]).agg(F.collect_list(v).alias(mark.col))
+        df = s.df.join(lists, keys, "left") if keys else s.df.crossJoin(F.broadcast(lists))  # one row
+        empty = F.array().cast(lists.schema[mark.col].dataType)
+        df = df.withColumn(mark.col, F.transform(F.coalesce(c(mark.col), empty), lambda x: x["v"]))
+        return Scope(df, {**s.names, name: mark}), P.Var(name)
 
     def semi(self, s: Scope, path: P.PathPat, how: str) -> Scope:
         keys_df, keys = self.matched_keys(s, path)
@@ -534,9 +580,32 @@ class Compiler:
                 return Scope(s.df.withColumn(mark.col, F.lit(not keys_df.isEmpty())), {**s.names, name: mark}), P.Var(name)
             df = s.df.join(keys_df.withColumn(mark.col, F.lit(True)), keys, "left").withColumn(mark.col, F.coalesce(c(mark.col), F.lit(False)))
             return Scope(df, {**s.names, name: mark}), P.Var(name)
+        if isinstance(e, P.PatComp):
+            return self.gathered(s, e)
         if not has_exists(e):
             return s, e
         match e:
+            case P.Index(of, at):
+                s, of = self.marks(s, of)
+                s, at = self.marks(s, at)
+                return s, P.Index(of, at)
+            case P.Slice(of, low, high):
+                s, of = self.marks(s, of)
+                return s, P.Slice(of, low, high)
+            case P.Comp():
+                s, of = self.marks(s, e.of)
+                return s, replace(e, of=of)
+            case P.ListLit(items):
+                done = []
+                for x in items:
+                    s, x = self.marks(s, x)
+                    done.append(x)
+                return s, P.ListLit(done)
+            case P.MapLit(items):
+                fields = {}
+                for k, x in items.items():
+                    s, fields[k] = self.marks(s, x)
+                return s, P.MapLit(fields)
             case P.Un(op, a):
                 s, a = self.marks(s, a)
                 return s, P.Un(op, a)
@@ -783,38 +852,61 @@ class Compiler:
     def expand_many(self, s: Scope, a: P.NodePat, r: P.RelPat, b: P.NodePat, backwards: bool, local: dict, mine: dict, i: int, to_labels: set[str] | None) -> Scope:
         """Edge-distinct paths of low to high hops."""
         low, high = r.span
-        tables = self.oriented(r, backwards, None, None)
-        rel = RelList(r.var, [t for t, _ in tables], backwards)
         start, bound = s.names[a.var], b.var in s.names
+        # the labels a hop can start from, and those from which the end can be reached: only edge tables between them are scanned
+        useful = to_labels
+        while useful is not None:
+            more = useful | {x.dst_label if rev else x.src_label for x, rev in self.oriented(r, backwards, None, useful)}
+            if more == useful:
+                break
+            useful = more
+        reached, tables = set(start.labels), []
+        for _ in range(len(self.g.vertices) if high is None else min(high, len(self.g.vertices))):
+            tables = self.oriented(r, backwards, reached, useful)
+            more = reached | {x.src_label if rev else x.dst_label for x, rev in tables}
+            if more == reached:
+                break
+            reached = more
+        rel = RelList(r.var, list(dict.fromkeys(t for t, _ in tables)), backwards)
         name = r.var
         cur, cur_label = f"{name}@cur", f"{name}@curlabel"
         props = edge_props(rel.tables)
         kind = "array<struct<_eid:bigint,_type:string,_src:bigint,_dst:bigint" + "".join(f",`{p}`:{t.simpleString()}" for p, t in props.items()) + ">>"
         df = s.df.withColumn(rel.list, F.array().cast(kind)).withColumn(rel.nodes, F.array().cast("array<struct<_id:bigint,_label:string>>")).withColumn(cur, c(start.id)).withColumn(cur_label, self.label_col(start))
-        step = None
-        if tables:
-            probe = Scope(self.edge_frame(name, tables), {name: Rel(name, rel.tables)})
+
+        def steps(labels: set[str], last: set[str] | None) -> tuple[DataFrame | None, set[str]]:
+            """The edges that lead on from ``labels`` (to ``last``, if given), and where to."""
+            fit = self.oriented(r, backwards, labels, last)
+            if not fit:
+                return None, set()
+            here = Rel(name, [t for t, _ in fit])
+            probe = Scope(self.edge_frame(name, fit), {name: here})
             for part in [P.Bin("=", P.Prop(P.Var(name), k), v) for k, v in r.props.items()] + conjuncts(r.where):
                 probe = self.where(probe, part)
-            one = self.rel_struct(Rel(name, rel.tables))
+            one = self.rel_struct(here, props)
             step = probe.df.select(c(f"{name}@from").alias(cur), c(f"{name}@to").alias(f"{name}@next"), c(f"{name}@tl").alias(f"{name}@nextlabel"), one.alias(f"{name}@edge"))
+            return step, {x.src_label if rev else x.dst_label for x, rev in fit}
 
         def ended(x: DataFrame) -> DataFrame:
             if to_labels is not None:
                 x = x.filter(c(cur_label).isin(*to_labels))
             return x.filter(c(cur) == c(s.names[b.var].id)) if bound else x
 
-        def hop(x: DataFrame) -> DataFrame:
+        def hop(x: DataFrame, step: DataFrame) -> DataFrame:
             edge = c(f"{name}@edge")
             x = x.join(step, [cur]).filter(~F.exists(c(rel.list), lambda y: (y["_eid"] == edge["_eid"]) & (y["_type"] == edge["_type"])))
             x = x.withColumn(rel.list, F.concat(c(rel.list), F.array(edge).cast(kind))).withColumn(rel.nodes, F.concat(c(rel.nodes), F.array(F.struct(c(f"{name}@next").alias("_id"), c(f"{name}@nextlabel").alias("_label")))))
             return x.drop(cur, cur_label, f"{name}@edge").withColumnRenamed(f"{name}@next", cur).withColumnRenamed(f"{name}@nextlabel", cur_label)
 
         found = [ended(df)] if low == 0 else []
-        most = MAX_HOPS if high is None else min(high, MAX_HOPS)
-        for n in range(1, most + 1 if step is not None else 1):
-            df = hop(df)
-            if most > UNROLLED:
+        most = MAX_HOPS if high is None else high
+        at = set(start.labels)
+        for n in range(1, most + 1):
+            step, at = steps(at, to_labels if n == most else useful)
+            if step is None:
+                break
+            df = hop(df, step)
+            if most > UNROLLED and (n >= low or n % UNROLLED == 0):
                 df = cut(df)
                 if df.isEmpty():
                     break
@@ -1028,13 +1120,14 @@ class Compiler:
 
     def aggregate(self, s: Scope, items: list[P.Item], names: dict, keys: list, extra: list) -> tuple[DataFrame, dict]:
         aggs: list[Column] = []
+        ready: dict[str, Column] = {}
         later: list[tuple[str, Any]] = []
         inner: dict[str, Any] = {}
 
         def pull(e: Any) -> Any:
             if isinstance(e, P.Fn) and e.name in aggregates.AGGREGATES:
                 v = Value(self.new("agg"))
-                aggs.append(self.one_aggregate(s, e).alias(v.col))
+                aggs.append(self.one_aggregate(s, e, ready).alias(v.col))
                 inner[v.name] = v
                 return P.Var(v.name)
             match e:
@@ -1065,7 +1158,8 @@ class Compiler:
         for it in items:
             if has_aggregate(it.expr):
                 later.append((it.name, pull(it.expr)))
-        group = s.df.groupBy(*[x.alias(k) for k, x in keys]) if keys else s.df.groupBy()
+        source = s.df.select("*", *[x.alias(k) for k, x in ready.items()]) if ready else s.df
+        group = source.groupBy(*[x.alias(k) for k, x in keys]) if keys else source.groupBy()
         df = group.agg(*aggs, *[F.first(x).alias(k) for k, x in extra])
         after = Scope(df, {**names, **inner})
         for name, e in later:
@@ -1073,7 +1167,8 @@ class Compiler:
             names[name] = Value(name)
         return df.drop(*[v.col for v in inner.values()]), names
 
-    def one_aggregate(self, s: Scope, e: P.Fn) -> Column:
+    def one_aggregate(self, s: Scope, e: P.Fn, ready: dict[str, Column]) -> Column:
+        """The aggregate; ``ready`` takes columns that it needs by name."""
         if e.star:
             bound = [b for b in s.names.values() if isinstance(b, (Node, Rel))]
             if self.compat == "reference" and bound and all(b.nullable for b in bound):
@@ -1086,17 +1181,24 @@ class Compiler:
                 return F.count_distinct(F.when(cols[0].isNotNull(), F.struct(cols[0], c(b.col("type")))))
         else:
             cols = [self.expr(s, x) for x in e.args]
+        if e.name == "percentiledisc":
+            name = self.new("disc")
+            ready[name] = aggregates.number(cols[0], self.type_of(s, cols[0]))
+            return aggregates.percentile_disc(name, self.constant(e.args[1]) if len(e.args) == 2 else None)
         return aggregates.build(e.name, cols, [self.type_of(s, x) for x in cols], e.distinct, self.compat)
 
     def call(self, s: Scope, x: P.Call) -> Scope:
         from arcweave.plans import procedures
+        from arcweave.plans.changes import CHANGES
 
         proc = procedures.PROCEDURES.get(x.name.lower())
+        if proc is None and x.name.lower() in CHANGES:
+            raise GraphError(f"{x.name} changes the graph: use graph.update")
         if proc is None:
             raise GraphError(f"no procedure {x.name}")
         if proc.by_row:
             frame, on, names = proc.rows(self, s, x.args)
-            df = s.df.join(frame, on)
+            df = s.df.join(frame, on) if on else frame if s.df is None else s.df.crossJoin(frame)
         else:
             frame = proc.call(self.g, [self.constant(a) for a in x.args])
             names = frame.columns

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, NumericType, DoubleType, LongType, StringType
+from pyspark.sql.types import DataType, DoubleType, IntegralType, LongType, MapType, NumericType, StringType
 
 VERTEX_META = ("_id",)
 EDGE_META = ("_eid", "_src", "_dst")
@@ -38,6 +38,8 @@ class VertexTable(_Lazy):
     source: DataFrame | Callable[[], DataFrame]
     primary: str | None = None
     indexes: tuple[tuple[str, bool], ...] = ()  # field, unique
+    number: int | None = None  # ids are those of ``namespaced_id(number, primary)``
+    vectors: tuple[tuple[str, int, str], ...] = ()  # vector indexes: field, dimension, distance
 
     @cached_property
     def props(self) -> dict[str, DataType]:
@@ -76,23 +78,25 @@ class PropertyGraph:
     edges: tuple[EdgeTable, ...] = ()
 
     # --- building -------------------------------------------------------
-    def with_vertices(self, label: str, df: DataFrame | Callable[[], DataFrame], primary: str | None = None, id_col: str | None = None) -> PropertyGraph:
+    def with_vertices(self, label: str, df: DataFrame | Callable[[], DataFrame], primary: str | None = None, id_col: str | None = None, number: int | None = None) -> PropertyGraph:
         """Add or replace a label. Without ``_id`` in ``df``, ``id_col`` (or the
         primary key) gives it; integer keys only, and only if they are unique
         over all labels; see ``namespaced_id`` otherwise. A function that gives
-        the complete frame may stand for it and is called on first use."""
+        the complete frame may stand for it and is called on first use.
+        ``number``: promises ids of ``namespaced_id(number, primary)``, so that
+        conditions on ids reach the scan as conditions on keys."""
         if isinstance(df, DataFrame) and "_id" not in df.columns:
             df = df.withColumn("_id", F.col(f"`{id_col or primary}`").cast("long"))
-        return replace(self, vertices={**self.vertices, label: VertexTable(label, df, primary)})
+        return replace(self, vertices={**self.vertices, label: VertexTable(label, df, primary, number=number)})
 
     def with_edges(self, label: str, src_label: str, dst_label: str, df: DataFrame | Callable[[], DataFrame], temporal: str | None = None) -> PropertyGraph:
-        """Add an edge frame. Without ``_eid`` every row gets a surrogate, so
-        that parallel edges stay apart."""
+        """Add an edge frame. Without ``_eid`` every row gets a surrogate (see
+        ``stable_ids``), so that parallel edges stay apart."""
         for side in (src_label, dst_label):
             if side not in self.vertices:
                 raise GraphError(f"no vertex label {side}")
         if isinstance(df, DataFrame) and "_eid" not in df.columns:
-            df = df.withColumn("_eid", F.monotonically_increasing_id())
+            df = stable_ids(df)
         kept = tuple(e for e in self.edges if (e.label, e.src_label, e.dst_label) != (label, src_label, dst_label))
         return replace(self, edges=(*kept, EdgeTable(label, src_label, dst_label, df, temporal)))
 
@@ -144,7 +148,33 @@ class PropertyGraph:
         return run_update(self, text, params or {})
 
 
+#: Bits of a key inside a graph-wide id.
+KEY_BITS = 48
+
+
+def is_key(key: str) -> Column:
+    """Whether ``namespaced_id`` takes it."""
+    return F.col(key).cast("long").between(0, (1 << KEY_BITS) - 1)
+
+
 def namespaced_id(number: int, key: str) -> Column:
-    """A graph-wide id of an integer key below 2**48 of the ``number``-th label;
-    ids of one label stay in the order of their keys."""
-    return F.lit(number << 48) + F.col(key).cast("long")
+    """A graph-wide id of an integer key of the ``number``-th label; ids of one
+    label stay in the order of their keys. Keys outside 0 to 2**48 - 1 would be
+    ids of another label: an error. A null key has a null id."""
+    k = F.col(key).cast("long")
+    bad = F.raise_error(F.concat(F.lit(f"{key} lies outside 0..2^{KEY_BITS}-1: "), k.cast("string"))).cast("long")
+    return F.when(is_key(key) | k.isNull(), F.lit(number << KEY_BITS) + k).otherwise(bad)
+
+
+def stable_ids(df: DataFrame) -> DataFrame:
+    """``df`` with ``_eid``: a hash of the row and of its number among equal
+    rows. The same in every scan, however the files are split and whatever is
+    filtered; where nothing reads it, Catalyst drops it with its shuffle."""
+    cols = [F.to_json(f"`{f.name}`") if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema]
+    again = F.row_number().over(Window.partitionBy(*cols).orderBy(F.lit(0)))
+    return df.withColumn("_copy", again).withColumn("_eid", F.xxhash64(*cols, "_copy")).drop("_copy")
+
+
+def file_row_id() -> Column:
+    """A stable id of a row of a parquet table: a hash of its file and place."""
+    return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))

@@ -151,9 +151,56 @@ def jaccard(g: PropertyGraph, args: list) -> DataFrame:
     return _frame(g, [(len(a & b) / len(a | b) if a | b else 1.0,)], "similarity double")
 
 
+@procedure("db.showVertexVectorIndex")
+def vector_indexes(g: PropertyGraph, args: list) -> DataFrame:
+    """A row per vector index; ``elements_num`` counts the vectors of its dimension."""
+    schema = "label_name string, field_name string, dimension long, distance_type string, elements_num long"
+    rows = [(v.label, f, d, kind, v.df.filter(F.size(f"`{f}`") == d).count()) for v in g.vertices.values() for f, d, kind in v.vectors]
+    return _frame(g, rows, schema)
+
+
+def _extract(compiler: Any, s: Any, args: list) -> tuple[DataFrame, list[str], list[str]]:
+    """``value``: one property of the vertex or edge whose id is given."""
+    from arcweave.plans.compiler import Node, Value, c
+
+    g, options = compiler.g, compiler.constant(args[1])
+    field = options["field"]
+    if options.get("isNode", True):
+        ids = g.all_vertices().select(F.col("_id").alias("key"), (F.col(f"`{field}`") if field in g.vertex_props(set(g.vertices)) else F.lit(None)).alias("value@y"))
+    else:
+        tables = [e for e in g.edges if field in e.props]
+        if not tables:
+            raise GraphError(f"no edge has {field}")
+        ids = None
+        for e in tables:
+            one = e.df.select(F.concat_ws("_", "_src", "_dst", F.lit(e.label), F.lit("0"), "_eid").alias("key"), F.col(f"`{field}`").alias("value@y"))
+            ids = one if ids is None else ids.unionByName(one)
+    b = s.names.get(getattr(args[0], "name", None))
+    if isinstance(b, (Node, Value)):
+        on = b.id if isinstance(b, Node) else b.col
+        return ids.withColumnRenamed("key", on), [on], ["value"]
+    return ids.filter(F.col("key") == compiler.constant(args[0])).drop("key"), [], ["value"]
+
+
+PROCEDURES["algo.native.extract"] = Procedure("algo.native.extract", rows=_extract)
+
+
 def _vector_args(g: PropertyGraph, args: list) -> tuple[DataFrame, str, list[float], dict]:
     label, prop, query, options = args[0], args[1], args[2], args[3] if len(args) > 3 else {}
-    return g.vertices[label].df, prop, [float(x) for x in query], options
+    v = g.vertices[label]
+    for f, dimension, kind in v.vectors:
+        if f == prop:
+            options = {"distance_type": kind, **options}
+            if len(query) != dimension:
+                raise GraphError(f"{label}.{prop} has {dimension} dimensions, not {len(query)}")
+    return v.df, prop, [float(x) for x in query], options
+
+
+def _with_nodes(g: PropertyGraph, label: str, found: DataFrame) -> DataFrame:
+    """``vid, distance, node`` in the order of distance."""
+    v = g.vertices[label]
+    node = v.df.select(F.col("_id").alias("vid"), F.struct(F.col("_id").alias("identity"), F.lit(label).alias("label"), F.struct(*[F.col(f"`{p}`") for p in v.props]).alias("properties")).alias("node"))
+    return found.join(node, "vid").select("vid", "distance", "node").orderBy("distance", "vid")
 
 
 @procedure("db.vertexVectorKnnSearch")
@@ -161,7 +208,7 @@ def knn(g: PropertyGraph, args: list) -> DataFrame:
     from arcweave.operators.vectors import knn_search
 
     df, prop, query, options = _vector_args(g, args)
-    return knn_search(df, "_id", prop, query, int(options.get("top_k", 10)), options.get("distance_type", "l2")).select(F.col("_id").alias("vid"), "distance")
+    return knn_search(df, "_id", prop, query, int(options.get("top_k", 10)), options.get("distance_type", "l2")).select(F.col("_id").alias("vid"), "distance").transform(lambda x: _with_nodes(g, args[0], x))
 
 
 @procedure("db.vertexVectorRangeSearch")
@@ -171,4 +218,4 @@ def range_search(g: PropertyGraph, args: list) -> DataFrame:
     df, prop, query, options = _vector_args(g, args)
     out = search(df, "_id", prop, query, float(options["radius"]), options.get("distance_type", "l2"))
     out = out.orderBy("distance", "_id").limit(int(options["limit"])) if options.get("limit") else out
-    return out.select(F.col("_id").alias("vid"), "distance")
+    return _with_nodes(g, args[0], out.select(F.col("_id").alias("vid"), "distance"))

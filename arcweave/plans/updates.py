@@ -8,7 +8,7 @@ written to the shared folder first, so all parts of it see the same rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +47,9 @@ def run_update(graph: PropertyGraph, text: str, params: dict) -> tuple[PropertyG
     query = P.parse(text)
     if len(query.parts) > 1:
         raise GraphError("an update has no UNION")
-    s, scope = Session(graph, params), Scope(None)
+    from arcweave.plans import changes
+
+    s, scope, called = Session(graph, params), Scope(None), {}
     for x in query.parts[0]:
         if isinstance(x, (P.Create, P.Merge, P.SetItems, P.Remove, P.Delete)):
             if scope.df is not None:
@@ -55,14 +57,17 @@ def run_update(graph: PropertyGraph, text: str, params: dict) -> tuple[PropertyG
             scope = {P.Create: create, P.Merge: merge, P.SetItems: set_items, P.Remove: remove, P.Delete: delete}[type(x)](s, scope, x)
         elif isinstance(x, P.Project) and x.final:
             break
+        elif isinstance(x, P.Call) and x.name.lower() in changes.CHANGES:
+            comp = s.compiler()
+            s.graph, counts = changes.CHANGES[x.name.lower()](s.graph, [comp.constant(a) for a in x.args])
+            called |= counts
         else:
             scope = s.compiler().clause(scope, x)
-    return s.graph, s.counts.as_dict()
+    return s.graph, {**s.counts.as_dict(), **called}
 
 
 def _replace_vertices(g: PropertyGraph, label: str, df: DataFrame) -> PropertyGraph:
-    v = g.vertices[label]
-    return g.with_vertices(label, df, v.primary)
+    return replace(g, vertices={**g.vertices, label: replace(g.vertices[label], source=df, number=None)})
 
 
 def _replace_edges(g: PropertyGraph, old: EdgeTable, df: DataFrame) -> PropertyGraph:
@@ -304,21 +309,32 @@ def delete(s: Session, scope: Scope, x: P.Delete) -> Scope:
 def upsert_vertices(g: PropertyGraph, label: str, rows: DataFrame) -> tuple[PropertyGraph, dict[str, int]]:
     """Insert rows or overwrite the given properties of those whose primary key
     exists. Rows without a key are counted as ``data_error``; of several rows
-    of one key the greatest wins."""
+    of one key the greatest wins. Rows whose value of a unique index belongs
+    to another key, of the graph or (then a smaller one) of the rows, are left
+    out and counted as ``index_conflict``."""
     v = g.vertices[label]
     if v.primary is None:
         raise GraphError(f"{label} has no primary key")
     total = rows.count()
     props = [p for p in v.props if p in rows.columns]
     good = rows.filter(F.col(f"`{v.primary}`").isNotNull()).select(*[F.col(f"`{p}`").cast(v.props[p]).alias(p) for p in props])
+    errors = total - good.count()
+    for f, unique in v.indexes:
+        if unique and set(fs := f.split(",")) <= set(props):
+            good = cut(good)
+            taken = v.df.select(F.col(f"`{v.primary}`").alias("@k"), *fs).unionByName(good.select(F.col(f"`{v.primary}`").alias("@k"), *fs)).dropna(subset=fs)
+            mine = v.df.select(F.col(f"`{v.primary}`").alias("@k"), *fs).dropna(subset=fs).groupBy(*fs).agg(F.min("@k").alias("@old"))
+            owner = taken.groupBy(*fs).agg(F.min("@k").alias("@first")).join(mine, fs, "left").select(*fs, F.coalesce("@old", "@first").alias("@owner"))
+            good = good.join(owner, fs, "left").filter(F.col("`@owner`").isNull() | (F.col("`@owner`") == F.col(f"`{v.primary}`"))).drop("@owner")
     n_good = good.count()
+    conflicts = total - errors - n_good
     rest = [p for p in props if p != v.primary]
     once = cut(good.groupBy(v.primary).agg(F.max(F.struct(*([F.col(f"`{p}`") for p in rest] or [F.lit(0).alias("_")]))).alias("@new")))
     old = v.df.join(once, v.primary, "left").select(*[F.when(F.col("`@new`").isNotNull(), F.col("`@new`")[p]).otherwise(F.col(f"`{p}`")).alias(p) if p in rest else F.col(f"`{p}`") for p in v.df.columns])
     fresh = cut(once.join(v.df.select(v.primary), v.primary, "left_anti"))
     n_new = fresh.count()
     added = _numbered(fresh, "_id", _next_id(g)).select("_id", *[(F.col(f"`{p}`") if p == v.primary else F.col("`@new`")[p] if p in rest else F.lit(None)).cast(t).alias(p) for p, t in v.props.items()])
-    return _replace_vertices(g, label, cut(old.unionByName(cut(added)))), {"total": total, "insert": n_new, "update": n_good - n_new, "data_error": total - n_good, "index_conflict": 0}
+    return _replace_vertices(g, label, cut(old.unionByName(cut(added)))), {"total": total, "insert": n_new, "update": n_good - n_new, "data_error": errors, "index_conflict": conflicts}
 
 
 def upsert_edges(g: PropertyGraph, label: str, src_label: str, dst_label: str, rows: DataFrame) -> tuple[PropertyGraph, dict[str, int]]:

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from arcweave.operators import badrows, heavykeys, orphans
 from arcweave.runtime import table, union_all
 
+#: Labels that a schema may have (fixed value of the data model); more are an error.
+MOST_LABELS = 4096
 #: vertex tables and their labels
 _LABELS = {"Person": "fin_person", "Account": "fin_account", "Loan": "fin_loan", "Company": "fin_company"}
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    names = {r["lid"]: r["table_name"] for r in table(spark, d, "vertex_label").limit(4097).collect()}  # a schema has at most 4096 labels
+    rows = table(spark, d, "vertex_label").select("lid", "table_name").filter("lid is not null").distinct().limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"vertex_label has more than {MOST_LABELS} labels")
+    names = {r["lid"]: r["table_name"] for r in rows}
     of = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<int,string>")
     e = table(spark, d, "lgraph_export").select("line_no", "src_lid", "dst_lid", "src_id", "dst_id", "ts")
     sides = F.array(*[F.struct(F.lit(s).alias("side"), of[F.col(lid)].alias("kind"), F.col(i).alias("key")) for s, lid, i in (("SRC_ID", "src_lid", "src_id"), ("DST_ID", "dst_lid", "dst_id"))])

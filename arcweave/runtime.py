@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast by ``join_bounded``.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of them as text, up to which a side may be broadcast by ``join_bounded``.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +73,13 @@ def union_all(frames: list[DataFrame], missing: bool = False) -> DataFrame:
 def join_bounded(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``left`` with ``right``, of which ``on`` is unique or nearly so.
 
-    ``right`` is broadcast if it has at most ``limit`` rows, which is counted
-    first. Beyond that ``right`` is repeated ``salts`` times and both sides are
+    ``right`` is broadcast if it has at most ``limit`` rows and
+    ``BROADCAST_BYTES``, which is measured first. Beyond that ``right`` is repeated ``salts`` times and both sides are
     shuffled by key and salt, so that a key holding a large share of ``left``
     is spread over ``salts`` tasks. Null keys match nothing.
     """
-    if right.limit(limit + 1).count() <= limit:
+    size = right.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= limit and size["bytes"] <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     salt = "__salt"
     spread = left.withColumn(salt, (F.rand(7) * salts).cast("int"))

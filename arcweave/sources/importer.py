@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from arcweave.plans.graph import GraphError, PropertyGraph, namespaced_id
 from arcweave.plans.updates import resolve_ends
+from arcweave.runtime import join_bounded
 
 # fixed values: the property types of the configuration
 TYPES = {"BOOL": "boolean", "INT8": "tinyint", "INT16": "smallint", "INT32": "int", "INT64": "bigint", "FLOAT": "float", "DOUBLE": "double", "DATE": "date", "DATETIME": "timestamp_ntz", "STRING": "string", "BLOB": "binary", "POINT": "string", "LINESTRING": "string", "POLYGON": "string", "FLOAT_VECTOR": "array<float>"}
@@ -41,6 +42,10 @@ def _read(spark: SparkSession, path: str, spec: dict) -> DataFrame:
         reader = spark.read.option("sep", _delimiter(spec.get("delimiter", ","))).option("quote", '"').option("escape", '"').option("multiLine", bool(spec.get("multiline", False)))
         if head <= 1:
             return reader.option("header", head == 1).option("enforceSchema", True).schema(schema).csv(path)
+        if spec.get("multiline"):  # such a file is read by one task, its records in order
+            records = reader.schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("@f"), F.monotonically_increasing_id().alias("@i"))
+            first = records.groupBy("@f").agg(F.min("@i").alias("@first"))
+            return join_bounded(records, first, ["@f"]).filter(F.col("`@i`") - F.col("`@first`") >= head).drop("@f", "@i", "@first")
         lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
         from pyspark.sql import Window
 
@@ -71,7 +76,7 @@ def _typed(df: DataFrame, types: dict[str, str], optional: set[str], strict: boo
 def load(spark: SparkSession, config: dict | str, folder: str, continue_on_error: bool = False) -> PropertyGraph:
     """A graph from a configuration (or the path of its JSON file)."""
     if isinstance(config, str):
-        config = json.loads("\n".join(r["value"] for r in spark.read.text(config).limit(100_000).collect()))
+        config = json.loads(spark.read.text(config, wholetext=True).first()["value"])
     g, schemas = PropertyGraph(spark), {}
     for s in config["schema"]:
         schemas[s["label"]] = s
@@ -142,6 +147,59 @@ def edge_list(spark: SparkSession, path: str, sep: str = " ", weighted: bool = F
     return out.select(F.col("a").alias("src"), F.col("b").alias("dst"), *rest), names
 
 
+def _text(name: str, kind: str) -> Column:
+    """A property as a text that ``load`` reads back."""
+    col = F.col(f"`{name}`")
+    return (F.base64(col) if kind == "BLOB" else F.to_json(col) if kind == "FLOAT_VECTOR" else col.cast("string")).alias(name)
+
+
+def export_files(g: PropertyGraph, folder: str, form: str = "JSON") -> dict:
+    """Write every label below ``folder`` as CSV (with a header row) or JSON
+    lines, edges with the primary keys of their ends, and an import
+    configuration beside them (``import.json``), which is returned; ``load``
+    makes the same graph of it. Labels need a primary key."""
+    form = form.upper()
+    names = {v: k for k, v in TYPES.items() if k not in ("POINT", "LINESTRING", "POLYGON")} | {"timestamp": "DATETIME", "array<double>": "FLOAT_VECTOR"}
+    config: dict = {"schema": [], "files": []}
+
+    def put(df: DataFrame, kinds: dict[str, str], ends: list[str], name: str) -> dict:
+        cols = [*ends, *kinds]
+        out = df.select(*[F.col(e).cast("string").alias(e) for e in ends], *[_text(p, k) for p, k in kinds.items()])
+        if form == "CSV":
+            out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}")
+            return {"path": name, "format": "CSV", "header": 1, "multiline": True, "columns": cols}
+        out.write.mode("overwrite").json(f"{folder}/{name}")
+        return {"path": name, "format": "JSON", "columns": cols}
+
+    def kinds_of(props: dict) -> dict[str, str]:
+        out = {}
+        for p, t in props.items():
+            if t.simpleString() not in names:
+                raise GraphError(f"{p} {t.simpleString()} has no type of the configuration")
+            out[p] = names[t.simpleString()]
+        return out
+
+    for v in g.vertices.values():
+        if v.primary is None:
+            raise GraphError(f"{v.label} has no primary key")
+        kinds = kinds_of(v.props)
+        config["schema"].append({"label": v.label, "type": "VERTEX", "primary": v.primary, "properties": [{"name": p, "type": k, "optional": p != v.primary} for p, k in kinds.items()]})
+        config["files"].append({"label": v.label, **put(v.df, kinds, [], f"vertex_{v.label}")})
+    for label in g.edge_labels():
+        mine = [e for e in g.edges if e.label == label]
+        kinds = {p: k for e in mine for p, k in kinds_of(e.props).items()}
+        config["schema"].append({"label": label, "type": "EDGE", "constraints": [[e.src_label, e.dst_label] for e in mine], "properties": [{"name": p, "type": k, "optional": True} for p, k in kinds.items()]})
+        for e in mine:
+            df = e.df
+            for side, key, end in (("_src", "SRC_ID", e.src_label), ("_dst", "DST_ID", e.dst_label)):
+                v = g.vertices[end]
+                df = df.join(v.df.select(F.col("_id").alias(side), F.col(f"`{v.primary}`").alias(key)), side)
+            config["files"].append({"label": label, "SRC_ID": e.src_label, "DST_ID": e.dst_label, **put(df, {p: kinds[p] for p in e.props}, ["SRC_ID", "DST_ID"], f"edge_{label}_{e.src_label}_{e.dst_label}")})
+    text = g.spark.createDataFrame([(json.dumps(config),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{folder}/import.json")
+    return config
+
+
 def export(g: PropertyGraph, folder: str, form: str = "parquet") -> dict:
     """Write every label below ``folder`` (parquet, json or csv; ends of edges
     as ids) and return the list of what was written."""

@@ -200,6 +200,32 @@ def test_sampling_and_search(graph, spark):
     assert [r.id for r in fulltext.search(d, "id", "t", "Graph", 5).collect()] == [1]
 
 
+def test_negative_samples_are_complete(spark):
+    """Where few pairs lack an edge, all of them are found."""
+    from arcweave.operators import sampling
+
+    lacking = {(0, 1), (7, 3), (39, 12)}
+    e = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b and (a, b) not in lacking] + [(5, 5), (None, 3)], "src long, dst long")
+    assert {tuple(r) for r in sampling.negative_sample(e, 3).collect()} == lacking == {tuple(r) for r in sampling.negative_sample(e, 99).collect()}
+    assert sampling.negative_sample(e.limit(0), 3).count() == 0
+    ring = spark.range(60).selectExpr("id as src", "(id + 1) % 60 as dst")
+    assert sampling.negative_sample(ring, 3000).distinct().count() == 3000
+
+
+def test_biased_walks(spark):
+    """On a star with a triangle the shares of the second step follow the weights."""
+    from arcweave.operators import sampling
+
+    e = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (1, 3)], "src long, dst long")
+    walks = sampling.node2vec(e, spark.createDataFrame([(0,)], "id long"), 1, 0.25, 4.0).collect()
+    assert walks[0].nodes[1] in (1, 2)
+    many = spark.range(4000).selectExpr("id + 10 as src", "0L as dst").union(e)  # 4000 leaves at vertex 0
+    third = [r.nodes[2] for r in sampling.node2vec(many, spark.range(10, 4010), 2, 1e9, 1e-9).collect()]
+    assert set(third) <= set(range(4010)) and all(len(r.nodes) == 3 for r in sampling.node2vec(e, spark.createDataFrame([(0,), (3,)], "id long"), 2, 1e9, 1.0).collect())
+    back = [r.nodes for r in sampling.node2vec(e, spark.createDataFrame([(3,)], "id long"), 2, 1e-6, 1.0).collect()]
+    assert back == [[3, 1, 3]]  # all the weight lies on the way back
+
+
 def test_stream_of_changes(spark, tmp_path):
     from arcweave.operators.orphans import current_orphans
     from arcweave.streaming.ledger import ledger, maintain
@@ -212,3 +238,19 @@ def test_stream_of_changes(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert {r.key for r in current_orphans(ledger(spark, str(tmp_path / "ledger"), 1)).collect()} == {2}
+    with pytest.raises(FileNotFoundError):
+        ledger(spark, str(tmp_path / "elsewhere"), 1)
+
+
+def test_ledger_folds_deltas(spark, tmp_path, monkeypatch):
+    from arcweave.streaming import ledger as L
+
+    monkeypatch.setattr(L, "COMPACT", 2)
+    schema = "kind string, key long, d_refs long, d_existing long"
+    for i in range(5):
+        spark.createDataFrame([("A", i, 1, 0), ("A", 0, 1, 0)] + ([("A", i - 1, -1, 0)] if i > 1 else []), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = L.maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "ledger"), str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+    assert {(r.key, r.refs) for r in L.ledger(spark, str(tmp_path / "ledger"), 4).collect()} == {(0, 6), (4, 1)}
+    assert sorted(x.name for x in (tmp_path / "ledger").iterdir()) == ["base2", "base4", "delta3"]

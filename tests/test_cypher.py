@@ -1,6 +1,7 @@
 """Golden values of the movie graph and rules of the language."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.plans.graph import GraphError
 from arcweave.plans.parser import QuerySyntaxError
@@ -138,3 +139,94 @@ def test_import_and_export(spark, tmp_path):
     (tmp_path / "edges.txt").write_text("b a\na c\n")
     e, names = importer.edge_list(spark, str(tmp_path / "edges.txt"), text_ids=True)
     assert names.count() == 3 and sorted(map(tuple, e.collect())) == [(0, 2), (1, 0)]
+
+
+def test_export_with_configuration(spark, movies, tmp_path):
+    """CSV and JSON exports are read back to the same graph."""
+    from arcweave.sources import importer
+
+    g, _ = movies.update("""CREATE (a:Person {name: 'Quo, "ted"', birthyear: 1})""")
+    for form in ("CSV", "JSON"):
+        importer.export_files(g, str(tmp_path / form), form)
+        h = importer.load(spark, str(tmp_path / form / "import.json"), str(tmp_path / form))
+        for q in ("MATCH (p:Person) RETURN p.name, p.birthyear", "MATCH (p)-[r:BORN_IN]->(c) RETURN p.name, r.reg_time, r.weight, c.name", "MATCH (a)-[r]->(b) RETURN type(r), count(r)"):
+            assert bag(h, q) == bag(g, q)
+
+
+def test_header_rows_above_quoted_line_breaks(spark, tmp_path):
+    from arcweave.sources import importer
+
+    for i in (1, 2):
+        (tmp_path / f"a{i}.csv").write_text(f'first head\nk,n\n{i},"two\nlines"\n{i + 5},plain\n')
+    got = importer._read(spark, str(tmp_path / "*.csv"), {"columns": ["k", "n"], "header": 2, "multiline": True}).collect()
+    assert sorted(map(tuple, got)) == [("1", "two\nlines"), ("2", "two\nlines"), ("6", "plain"), ("7", "plain")]
+
+
+def chain(spark, n):
+    from arcweave.plans.graph import PropertyGraph
+
+    g = PropertyGraph(spark).with_vertices("N", spark.range(n).select(F.col("id").alias("_id"), F.col("id").alias("k")), "k")
+    return g.with_edges("E", "N", "N", spark.range(n - 1).select(F.col("id").alias("_src"), (F.col("id") + 1).alias("_dst")))
+
+
+def test_explicit_hops_are_not_capped(spark):
+    assert rows(chain(spark, 135), "MATCH (a:N {k: 0})-[:E*130..130]->(b) RETURN b.k") == [(130,)]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hops_scan_the_labels_they_reach(movies):
+    """From a city nothing leads on; from a person over BORN_IN only cities."""
+    plan = scans(movies.cypher("MATCH (p:Person)-[*1..2]->(c:City) RETURN p.name, c.name"))
+    assert "charactername" not in plan
+    assert bag(movies, "MATCH (p:Person)-[*2..2]->(c:City) RETURN p.name, c.name") == sorted([("Liam Neeson", "London"), ("Rachel Kempson", "London"), ("Michael Redgrave", "London"), ("Vanessa Redgrave", "London")])
+
+
+def test_ids_reach_the_scan_as_keys(spark, tmp_path):
+    from arcweave.plans.graph import PropertyGraph, namespaced_id
+
+    spark.range(10).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    g = PropertyGraph(spark).with_vertices("A", t.withColumn("_id", namespaced_id(3, "k")), "k", number=3).with_vertices("B", t.withColumn("_id", namespaced_id(4, "k")), "k", number=4)
+    one, other = (3 << 48) + 5, (4 << 48) + 6
+    df = g.cypher(f"MATCH (n:A) WHERE id(n) IN [{one}, {other}] RETURN n.k")
+    assert [tuple(r) for r in df.collect()] == [(5,)] and "EqualTo(k,5)" in df._jdf.queryExecution().executedPlan().toString()
+    df = g.cypher("MATCH (n) WHERE id(n) IN $ids RETURN label(n), n.k", {"ids": [one, other]})
+    assert sorted(tuple(r) for r in df.collect()) == [("A", 5), ("B", 6)]
+    bad = PropertyGraph(spark).with_vertices("A", spark.createDataFrame([(-1,)], "k long").withColumn("_id", namespaced_id(3, "k")), "k")
+    with pytest.raises(Exception, match="lies outside"):
+        bad.cypher("MATCH (n) RETURN id(n)").collect()
+
+
+def test_surrogates_of_edges_are_stable(spark):
+    from arcweave.plans.graph import stable_ids
+
+    df = spark.createDataFrame([(1, 2, "x"), (1, 2, "x"), (1, 2, "y"), (2, 1, None)], "_src long, _dst long, p string")
+    ids = lambda x: {(r._src, r._dst, r.p, r._eid) for r in stable_ids(x).collect()}
+    assert len(ids(df)) == 4 and ids(df) == ids(df.repartition(3)) and ids(df.filter("p = 'x'")) < ids(df)
+    assert "Window" not in scans(stable_ids(df).select("_src"))
+
+
+def test_pattern_comprehension(movies):
+    assert bag(movies, "MATCH (c:City) RETURN c.name, size([(p:Person)-[:BORN_IN]->(c) WHERE p.birthyear > 1931 | p.name])") == [("Houston", 1), ("London", 3), ("New York", 2)]
+    got = rows(movies, "MATCH (p:Person {name: 'Richard Harris'}) RETURN [(p)-[r:ACTED_IN]->(f) | f.title + ': ' + r.charactername] AS l")
+    assert sorted(got[0][0]) == ["Camelot: King Arthur", "Harry Potter and the Sorcerer's Stone: Albus Dumbledore"]
+    assert rows(movies, "MATCH (c:Film {title: 'Camelot'}) RETURN [(c)-[:MARRIED]->(x:Person) | x.name] AS l") == [([],)]
+    assert rows(movies, "MATCH (p:Person {name: 'Roy Redgrave'}) RETURN [(p)-[:HAS_CHILD]->(x) | x.nothing] AS l") == [([None],)]
+
+
+def test_traversals(movies):
+    from arcweave.algo.traversal import FrontierTraversal, PathTraversal
+
+    ids = lambda t: sorted(r.id for r in t.frontier.collect())
+    t = FrontierTraversal(movies).set_frontier("name = 'Roy Redgrave'")
+    assert ids(t) == [10] and ids(t.expand_out(["HAS_CHILD"])) == [1] and ids(t.expand_out(["HAS_CHILD", "MARRIED"])) == [0, 2, 3]
+    assert ids(t.expand(["HAS_CHILD"])) == [5, 9]  # what was visited isn't met again
+    assert ids(FrontierTraversal(movies).set_frontier([14]).expand_in(["BORN_IN"], edges="weight > 20", vertices="birthyear < 1950")) == [2]
+    assert ids(FrontierTraversal(movies, allow_revisits=True).set_frontier([0, 1]).expand_out(["HAS_CHILD"])) == [2, 2, 3, 3]
+    assert ids(t.reset_visited().expand_in(["HAS_CHILD"])) == [2, 3]
+    p = PathTraversal(movies).set_frontier([10]).expand_out(["HAS_CHILD"]).expand_out(["HAS_CHILD"], paths="nodes[2] <> 3")
+    assert [(r.id, r.nodes, [e.label for e in r.edges]) for r in p.frontier.collect()] == [(2, [10, 1, 2], ["HAS_CHILD"] * 2)]
+    assert ids(p.expand_out(["DIRECTED"])) == []
