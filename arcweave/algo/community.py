@@ -121,7 +121,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return r["inside"] / r["m2"] - r["sq"] / r["m2"] ** 2 if r["m2"] else 0.0
 
 
-def label_propagation(edges: DataFrame, iterations: int = 10, weighted: bool = False, vertices: DataFrame | None = None) -> DataFrame:
+def label_propagation(edges: DataFrame, iterations: int = 20, weighted: bool = False, vertices: DataFrame | None = None) -> DataFrame:
     """``id, label``: all vertices at once take the label that most of their
     undirected neighbours (parallel edges counted, or weights summed) have, the
     smallest at ties; the own label counts once (unweighted)."""
@@ -143,7 +143,7 @@ def label_propagation(edges: DataFrame, iterations: int = 10, weighted: bool = F
     return state
 
 
-def speaker_listener(edges: DataFrame, iterations: int = 10, threshold: float = 0.1, seed: int = 0) -> DataFrame:
+def speaker_listener(edges: DataFrame, iterations: int = 20, threshold: float = 0.1, seed: int = 0) -> DataFrame:
     """``id, label, share``: overlapping communities. In a round every vertex
     speaks one label of its memory, chosen by a seeded hash in proportion to
     its count; every listener remembers what it hears most."""

@@ -94,7 +94,7 @@ def sybilrank(edges: DataFrame, seeds: DataFrame, vertices: DataFrame | None = N
     return _iterate(links, start, math.ceil(math.log(n)), F.col("got"))
 
 
-def hits(edges: DataFrame, vertices: DataFrame | None = None, iterations: int = 20, delta: float = 1e-6) -> DataFrame:
+def hits(edges: DataFrame, vertices: DataFrame | None = None, iterations: int = 100, delta: float = 1e-6) -> DataFrame:
     """``id, authority, hub``, each of length 1; stops early once both change
     by less than ``delta`` in sum."""
     vertices = ends(edges) if vertices is None else vertices
