@@ -9,6 +9,9 @@ from arcweave.llm import bpe, leakage, neighbours, quantiles, repetition, trunca
 from arcweave.runtime import table, write_stage
 
 
+PERCENTILES = [0.25, 0.5, 0.9, 0.99]
+
+
 def _similar(spark: SparkSession, d: str, min_cosine: float | None) -> DataFrame:
     return neighbours.similar(table(spark, d, "proto_field_data"), table(spark, d, "vector_index"), min_cosine=min_cosine)
 
@@ -41,7 +44,16 @@ def p4_median(spark: SparkSession, d: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of single days put together, with the bounds of each answer."""
     daily = quantiles.sketch(_jobs(spark, d), "procedure", "runtime", "day")
-    return quantiles.percentiles(quantiles.combine(daily), [0.25, 0.5, 0.9, 0.99])
+    return quantiles.percentiles(quantiles.combine(daily), PERCENTILES)
+
+
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the bounds that combined sketches give hold the exact percentile."""
+    jobs = write_stage(_jobs(spark, d), "jobs")
+    got = quantiles.percentiles(quantiles.combine(quantiles.sketch(jobs, "procedure", "runtime", "day")), PERCENTILES)
+    exact = jobs.groupBy(F.col("procedure").alias("grp")).agg(*[F.expr(f"percentile_disc({p}D) within group (order by cast(runtime as double))").alias(f"x{i}") for i, p in enumerate(PERCENTILES)])
+    each = exact.select("grp", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"x{i}").alias("exact")) for i, p in enumerate(PERCENTILES)])).alias("x")).select("grp", "x.p", "x.exact")
+    return got.withColumnRenamed("point", "p").join(each, ["grp", "p"]).select(F.col("grp").alias("procedure"), "p", F.col("exact").between(F.col("low"), F.col("high")).alias("held"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +81,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
     return repetition.measure(table(spark, d, "documents"), stratum="lang").select("doc_id", "n_words", "n_repeated", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p4_found, p4_median, p4_percentiles, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p4_found, p4_median, p4_percentiles, p4_bounds, p6_found, p6_share, p7_ids, p8_found, p9_found, p9_share)}
 _JOBS = r"WITH j AS (SELECT job_id, min(lower(regexp_replace(procedure_name, '^\s+|\s+$', '', 'g'))) AS procedure, min(runtime) AS runtime FROM job_run WHERE status = 'finished' AND runtime >= 0 AND procedure_name IS NOT NULL GROUP BY job_id), m AS (SELECT procedure, count(*) AS n_jobs, median(runtime) AS median FROM j GROUP BY procedure)"
 
 # words as in the text of the problem: ideographs are set apart, the rest are runs of letters and digits
@@ -85,5 +97,6 @@ ORACLE: dict[str, str] = {
     "p9_found": f"{_REPEATED} SELECT doc_id FROM s WHERE n_words > 0 AND n_repeated >= 0.3 * n_words",
     "p9_share": f"{_REPEATED} SELECT doc_id, n_words, n_repeated, round(n_repeated::DOUBLE / greatest(n_words, 1), 6) AS share FROM s",
     "p4_found": f"{_JOBS} SELECT job_id FROM j JOIN m USING (procedure) WHERE runtime > 10 * median",
+    "p4_bounds": f"{_JOBS} SELECT procedure, p, true AS held FROM m, (SELECT unnest({PERCENTILES}::DOUBLE[]) AS p)",
     "p4_median": f"{_JOBS} SELECT procedure, n_jobs, median FROM m",
 }

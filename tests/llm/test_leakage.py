@@ -38,3 +38,13 @@ def test_full_length_and_edges(make):
     assert sorted(map(tuple, got)) == [(1, 7), (3, 7), (4, 7)]
     none = make([], "item_id long, passage string")
     assert leakage.leaks(make(docs, "doc_id long, text string"), none).count() == 0
+
+
+def test_long_passages_in_pieces(make):
+    """A passage longer than a group is cut; a run over the cut is found."""
+    w = [f"w{i}" for i in range(400)]
+    docs = [(k, " ".join(w[k : k + 12])) for k in range(0, 388, 7)] + [(900, " ".join(w[3:14])), (901, " ".join(reversed(w)))]
+    items = [(7, " ".join(w)), (8, " ".join(w[100:130])), (8, None)]
+    got = leakage.leaks(make(docs, "doc_id long, text string"), make(items, "item_id long, passage string"), limit=100).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items[:2], 12) and len(got) == len(set(got))
+    assert all(len(r.w) <= 25 for r in leakage.pieces(make(items, "item_id long, passage string"), size=25).collect())
