@@ -5,8 +5,11 @@ order of addition."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arcweave.plans.graph import PropertyGraph
 from arcweave.queries.tpch import graph
+from arcweave.runtime import table
 
 #: name -> (query, SQL)
 PAIRS: dict[str, tuple[str, str]] = {
@@ -32,15 +35,15 @@ PAIRS: dict[str, tuple[str, str]] = {
     "var_length_zero": ("MATCH (n:Nation {n_nationkey: 3})-[*0..1]-(x) RETURN label(x) AS label, count(*) AS n", "SELECT 'Nation' AS label, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'Region', count(*) FROM nation WHERE n_nationkey = 3 UNION ALL SELECT * FROM (SELECT 'Customer', count(*) AS k FROM customer WHERE c_nationkey = 3) WHERE k > 0 UNION ALL SELECT * FROM (SELECT 'Supplier', count(*) AS k FROM supplier WHERE s_nationkey = 3) WHERE k > 0"),
     "var_length_open": ("MATCH (c:Customer {c_custkey: 7})-[:CUST_IN|IN_REGION*]->(x) RETURN label(x) AS label, count(*) AS n", "SELECT 'Nation' AS label, count(*) AS n FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'Region', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7"),
     "path_values": ("MATCH p = (s:Supplier)-[:SUPP_IN]->(n:Nation)-[*1..1]->(r:Region) RETURN s.s_suppkey AS k, length(p) AS hops, size(nodes(p)) AS n_nodes", "SELECT s_suppkey AS k, 2 AS hops, 3 AS n_nodes FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"),
-    "path_members": ("MATCH p = (c:Customer)-[:PLACED]->(o:Order)-[e:CONTAINS*1..1]->(x:Part) WHERE c.c_custkey <= 50 RETURN c.c_custkey AS k, getMemberProp(relationships(p), 'l_quantity')[1] AS q, isAsc(getMemberProp(e, 'l_quantity')) AS asc, hasDuplicates(nodes(p)) AS dup", "SELECT c_custkey AS k, l_quantity AS q, true AS asc, false AS dup FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey <= 50"),
+    "path_members": ("MATCH p = (c:Customer)-[:PLACED]->(o:Order)-[e:CONTAINS*1..1]->(x:Part) RETURN c.c_custkey AS k, getMemberProp(relationships(p), 'l_quantity')[1] AS q, isAsc(getMemberProp(e, 'l_quantity')) AS asc, hasDuplicates(nodes(p)) AS dup", "SELECT c_custkey AS k, l_quantity AS q, true AS asc, false AS dup FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"),
     "relationship_count": ("MATCH (:Order)-[r:SHIPPED_BY]->(:Supplier) RETURN count(r) AS n", "SELECT count(*) AS n FROM lineitem"),
     "degree_topn": ("MATCH (p:Part)<-[r:CONTAINS]-(:Order) RETURN p.p_partkey AS k, count(r) AS n ORDER BY n DESC, k LIMIT 20", "SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, k LIMIT 20"),
     "product_linked": ("MATCH (a:Customer), (b:Supplier) WHERE a.c_nationkey = b.s_nationkey AND a.c_acctbal < b.s_acctbal RETURN a.c_nationkey AS nation, count(*) AS n", "SELECT c_nationkey AS nation, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY 1"),
     "product_small": ("MATCH (a:Region), (b:Nation) WHERE a.r_regionkey <> b.n_regionkey RETURN a.r_name AS region, b.n_name AS nation", "SELECT r_name AS region, n_name AS nation FROM region, nation WHERE r_regionkey <> n_regionkey"),
     "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS k, count(o) AS n", "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY 1"),
-    "optional_null": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WITH c, o WHERE o IS NULL RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "optional_null": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 WITH c, o WHERE o IS NULL RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "exists_semi": ("MATCH (c:Customer) WHERE exists((c)-[:PLACED]->(:Order {o_orderstatus: 'P'})) RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
-    "exists_anti": ("MATCH (p:Part) WHERE NOT exists((p)<-[:CONTAINS]-()) RETURN p.p_partkey AS k", "SELECT p_partkey AS k FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)"),
+    "exists_anti": ("MATCH (c:Customer) WHERE NOT exists((c)-[:PLACED]->(:Order {o_orderstatus: 'P'})) RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     "exists_value": ("MATCH (c:Customer) RETURN exists((c)-[:PLACED]->()) AS buys, count(*) AS n", "SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS buys, count(*) AS n FROM customer GROUP BY 1"),
     "multi_match": ("MATCH (n:Nation {n_nationkey: 1}) MATCH (n)<-[:CUST_IN]-(c:Customer) MATCH (n)<-[:SUPP_IN]-(s:Supplier) RETURN count(DISTINCT c) AS customers, count(DISTINCT s) AS suppliers, count(*) AS pairs", "SELECT count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers, count(*) AS pairs FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_nationkey = 1"),
     # projection, predicates, expressions
@@ -74,6 +77,14 @@ PAIRS: dict[str, tuple[str, str]] = {
     "gql_quantifier": ("MATCH (c:Customer)-[:CUST_IN|IN_REGION]->{2,2}(r:Region) RETURN r.r_name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
     "five_way": ("MATCH (r:Region {r_name: 'ASIA'})<-[:IN_REGION]-(n:Nation)<-[:CUST_IN]-(c:Customer)-[:PLACED]->(o:Order)-[l:CONTAINS]->(p:Part) WHERE o.o_orderdate >= datetime('1995-01-01 00:00:00') RETURN n.n_name AS nation, count(DISTINCT o) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue", "SELECT n_name AS nation, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1"),
     "temporal_edges": ("MATCH (u:User)-[e:DID]->() WHERE e.event_type = 'purchase' RETURN u.user_id AS u, count(e) AS n, round(sum(e.value), 2) AS v ORDER BY v DESC, u LIMIT 10", "SELECT user_id AS u, count(*) AS n, round(sum(value), 2) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY v DESC, u LIMIT 10"),
+    "pattern_comprehension": ("MATCH (n:Nation) RETURN n.n_name AS name, size([(n)<-[:CUST_IN]-(c:Customer) WHERE c.c_acctbal > 9000 | c.c_name]) AS rich, maxInList([(n)<-[:SUPP_IN]-(s:Supplier) | s.s_acctbal]) AS most", "SELECT n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS rich, (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey) AS most FROM nation"),
+    "var_length_into": ("MATCH (c:Customer)-[:CUST_IN]->(n:Nation)-[:IN_REGION]->(r:Region) MATCH (c)-[:CUST_IN|IN_REGION*1..2]->(r) RETURN r.r_name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
+    "scan_from_rows": ("UNWIND [1, 3] AS x MATCH (n) WHERE n.r_regionkey = x OR n.n_regionkey = x RETURN x, label(n) AS label, count(n) AS n", "SELECT r_regionkey::BIGINT AS x, 'Region' AS label, count(*) AS n FROM region WHERE r_regionkey IN (1, 3) GROUP BY 1 UNION ALL SELECT n_regionkey, 'Nation', count(*) FROM nation WHERE n_regionkey IN (1, 3) GROUP BY 1"),
+    "call_in_query": ("MATCH (a:Nation), (b:Nation) WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey CALL algo.shortestPath(a, b, {relationshipQuery: 'IN_REGION'}) YIELD length RETURN a.n_nationkey AS a, b.n_nationkey AS b, length", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, 2 AS length FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "call_extract": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) CALL algo.native.extract(r, {isNode: true, field: 'r_name'}) YIELD value RETURN n.n_name AS name, value", "SELECT n_name AS name, r_name AS value FROM nation JOIN region ON r_regionkey = n_regionkey"),
+    "list_predicates": ("MATCH (n:Nation) RETURN n.n_nationkey AS k, none(x IN [1, 2] WHERE x = n.n_regionkey) AS no, single(x IN [1, 2, 2] WHERE x = n.n_regionkey) AS one, -n.n_nationkey AS neg, toString(n.n_nationkey) AS s, toBoolean('true') AS t", "SELECT n_nationkey AS k, n_regionkey NOT IN (1, 2) AS no, n_regionkey = 1 AS one, -n_nationkey AS neg, n_nationkey::VARCHAR AS s, true AS t FROM nation"),
+    "edge_functions": ("MATCH (c:Customer)-[r:PLACED]->(o:Order) RETURN c.c_custkey AS k, max(id(r)) AS latest, count(DISTINCT euid(r)) AS n", "SELECT o_custkey AS k, max(o_orderkey) AS latest, count(*) AS n FROM orders GROUP BY 1"),
+    "edge_field": ("MATCH (o:Order)-[l:CONTAINS]->(p:Part) RETURN p.p_brand AS brand, max(native.getEdgeField(l, 'l_quantity')) AS q", "SELECT p_brand AS brand, max(l_quantity) AS q FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1"),
     "call_labels": ("CALL db.vertexLabels() YIELD label WHERE label <> 'User' RETURN label", "SELECT unnest(['Customer', 'Nation', 'Order', 'Part', 'Region', 'Supplier']) AS label"),
     "call_counts": ("CALL dbms.meta.countDetail() YIELD isVertex, label, count RETURN isVertex, label, count", "SELECT true AS isVertex, 'Region' AS label, count(*) AS count FROM region UNION ALL SELECT true, 'Nation', count(*) FROM nation UNION ALL SELECT true, 'Customer', count(*) FROM customer UNION ALL SELECT true, 'Supplier', count(*) FROM supplier UNION ALL SELECT true, 'Part', count(*) FROM part UNION ALL SELECT true, 'Order', count(*) FROM orders UNION ALL SELECT true, 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT false, 'IN_REGION', count(*) FROM nation UNION ALL SELECT false, 'CUST_IN', count(*) FROM customer UNION ALL SELECT false, 'SUPP_IN', count(*) FROM supplier UNION ALL SELECT false, 'PLACED', count(*) FROM orders UNION ALL SELECT false, 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT false, 'SHIPPED_BY', count(*) FROM lineitem UNION ALL SELECT false, 'DID', count(*) FROM events"),
 }
@@ -86,5 +97,19 @@ def _query(text: str):
     return run
 
 
-QUERIES = {name: _query(text) for name, (text, _) in PAIRS.items()}
-ORACLE = {name: sql for name, (_, sql) in PAIRS.items()}
+def parameters(s: SparkSession, d: str) -> DataFrame:
+    return graph(s, d).cypher("MATCH (c:Customer) WHERE c.c_acctbal > $low AND c.c_mktsegment IN $segs RETURN c.c_mktsegment AS seg, count(c) AS n", {"low": 5000, "segs": ["BUILDING", "MACHINERY"]})
+
+
+def hops_130(s: SparkSession, d: str) -> DataFrame:
+    """Paths of exactly 130 hops along the parts in the order of their keys."""
+    parts = table(s, d, "part").select(F.col("p_partkey").alias("k"))
+    g = PropertyGraph(s).with_vertices("N", parts, "k").with_edges("NEXT", "N", "N", parts.select(F.col("k").alias("_src"), (F.col("k") + 1).alias("_dst"), F.col("k").alias("_eid")))
+    return g.cypher("MATCH (a:N)-[:NEXT*130..130]->(b:N) RETURN a.k AS a, b.k AS b")
+
+
+QUERIES = {**{name: _query(text) for name, (text, _) in PAIRS.items()}, "parameters": parameters, "hops_130": hops_130}
+ORACLE = {name: sql for name, (_, sql) in PAIRS.items()} | {
+    "parameters": "SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1",
+    "hops_130": "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 130",
+}

@@ -37,6 +37,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphans(_references(spark, d), _deltas(spark, d))).withColumnRenamed("kind", "vertex_table")
 
 
+def p2_current(spark: SparkSession, d: str) -> DataFrame:
+    """The current orphans of the ledger of signed counts: keys that are
+    referred to and don't exist once all changes are in, with their references."""
+    refs = _references(spark, d).select("kind", "key", F.lit(1).alias("d_refs"), F.lit(0).alias("d_existing"))
+    lives = _deltas(spark, d).select("kind", "key", F.lit(0).alias("d_refs"), F.col("delta").alias("d_existing"))
+    ledger = orphans.apply_changes(orphans.empty_ledger(spark), refs.unionByName(lives))
+    return orphans.current_orphans(ledger).select(F.col("kind").alias("vertex_table"), "key", "refs")
+
+
 def _per_key(spark: SparkSession, d: str) -> DataFrame:
     return heavykeys.aggregate_by_key(table(spark, d, "lgraph_export"), ["src_id", "e_lid"], "amount")
 
@@ -61,7 +70,7 @@ def p5_valid(spark: SparkSession, d: str) -> DataFrame:
     return badrows.valid(_movies(spark, d).drop("raw"), badrows.MOVIE_COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_per_key, p5_found, p5_valid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_current, p3_found, p3_per_key, p5_found, p5_valid)}
 
 _VERTICES = " UNION ALL ".join(f"SELECT '{t}' AS tn, id, loaded_at, dropped_at FROM {t}" for t in _LABELS.values())
 _REFS = "SELECT line_no, ts, 'SRC_ID' AS side, src_lid AS lid, src_id AS id FROM lgraph_export UNION ALL SELECT line_no, ts, 'DST_ID', dst_lid, dst_id FROM lgraph_export"
@@ -78,6 +87,7 @@ _CELLS = f"""WITH q AS (SELECT line_no, raw, regexp_full_match(raw, '{_F}(,{_F})
 ORACLE = {
     "p2_found": f"{_ORPHANS} SELECT line_no, side FROM o",
     "p2_report": f"{_ORPHANS} SELECT tn AS vertex_table, strftime(ts, '%Y-%m') AS period, count(*) AS n_refs, count(DISTINCT id) AS n_keys FROM o GROUP BY 1, 2",
+    "p2_current": f"WITH v AS ({_VERTICES}), r AS (SELECT l.table_name AS tn, x.id FROM ({_REFS}) x LEFT JOIN vertex_label l ON l.lid = x.lid WHERE x.id IS NOT NULL) SELECT tn AS vertex_table, id AS key, count(*) AS refs FROM r WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.tn = r.tn AND v.id = r.id AND v.loaded_at IS NOT NULL AND v.dropped_at IS NULL) GROUP BY 1, 2",
     "p3_found": "SELECT 'src_id' AS key_field, src_id AS key_value FROM lgraph_export WHERE src_id IS NOT NULL GROUP BY src_id HAVING count(*) >= 0.01 * (SELECT count(*) FROM lgraph_export) UNION ALL SELECT 'e_lid', e_lid FROM lgraph_export WHERE e_lid IS NOT NULL GROUP BY e_lid HAVING count(*) >= 0.1 * (SELECT count(*) FROM lgraph_export)",
     "p3_per_key": _PER_KEY,
     "p5_found": f"{_CELLS} SELECT line_no, reason FROM j WHERE reason IS NOT NULL",
