@@ -228,7 +228,7 @@ def _coords(h: Column, at: Column, n: Column, little: Column) -> Column:
 
 
 def _from_wkb(kind: str, h: Column) -> Column:
-    """WKT of a hex (E)WKB value; polygons by their outer ring."""
+    """WKT of a hex (E)WKB value; polygons with all their rings."""
     h = F.upper(h)
     little = F.substring(h, 1, 2) == "01"
     at = F.when(_little_uint(h, F.lit(2), little) >= 0x20000000, F.lit(18)).otherwise(F.lit(10))
@@ -236,7 +236,16 @@ def _from_wkb(kind: str, h: Column) -> Column:
         return F.concat(F.lit("POINT("), _coords(h, at, F.lit(1), little), F.lit(")"))
     if kind == "LINESTRING":
         return F.concat(F.lit("LINESTRING("), _coords(h, at + 8, _little_uint(h, at, little), little), F.lit(")"))
-    return F.concat(F.lit("POLYGON(("), _coords(h, at + 16, _little_uint(h, at + 8, little), little), F.lit("))"))
+
+    def ring(state: Column, _: Column) -> Column:
+        n = _little_uint(h, state["at"], little)
+        text = F.concat(F.lit("("), _coords(h, state["at"] + 8, n, little), F.lit(")"))
+        return F.struct((state["at"] + 8 + n * 32).cast("long").alias("at"), F.concat(state["rings"], F.array(text)).alias("rings"))
+
+    n_rings = _little_uint(h, at, little).cast("int")
+    start = F.struct((at + 8).cast("long").alias("at"), F.array().cast("array<string>").alias("rings"))
+    rings = F.aggregate(F.sequence(F.lit(1), n_rings), start, ring, lambda state: F.array_join(state["rings"], ","))
+    return F.when(n_rings > 0, F.concat(F.lit("POLYGON("), rings, F.lit(")"))).otherwise("POLYGON EMPTY")
 
 
 for _kind in ("POINT", "LINESTRING", "POLYGON"):

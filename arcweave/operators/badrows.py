@@ -19,6 +19,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +45,16 @@ class TextColumn:
     nulls: tuple[str, ...] = field(default=())
 
 
+def _typed(x: Column, c: TextColumn) -> Column:
+    x = F.when(~x.isin(*c.nulls), x) if c.nulls else x
+    return x if c.kind == "string" else x.try_cast(c.kind)
+
+
 def check_rows(df: DataFrame, raw: str, columns: list[TextColumn]) -> DataFrame:
     """``df`` with ``fields`` (array of texts, null where quoting is broken)
-    and ``errors`` (array of reasons, empty for a valid row)."""
+    and ``errors``: empty for a valid row, else ``quoting``, ``column_count`` or
+    one ``invalid_value:<column>`` per column whose text breaks a pattern or
+    can't be cast."""
     keep = [F.col(f"`{c}`").alias(f"in_{c}" if c in {"fields", "errors"} else c) for c in df.columns]
     text = F.col(f"`{raw}`")
     whole = F.coalesce(text.rlike(WELL_QUOTED), F.lit(True))
@@ -55,27 +65,26 @@ def check_rows(df: DataFrame, raw: str, columns: list[TextColumn]) -> DataFrame:
     cells = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(NEXT_FIELD), 1)
     out = df.select(*keep, whole.alias("__whole"), F.when(whole, F.transform(cells, unquote)).alias("fields"))
     cell = [F.get(F.col("fields"), i) for i in range(len(columns))]
-    fails = []
+    bad = []
     for c, x in zip(columns, cell):
+        fails = []
         if c.allow:
             fails.append(~x.rlike(c.allow))
         if c.forbid:
             fails.append(x.rlike(c.forbid))
-    bad = fails[0] if fails else F.lit(False)
-    for f in fails[1:]:
-        bad = bad | f
+        if c.kind != "string":  # the cast rule: a text that is no null and no value of the type
+            fails.append(_typed(x, c).isNull() & ~x.isin(*c.nulls) if c.nulls else _typed(x, c).isNull())
+        if fails:
+            bad.append(F.when(reduce(or_, fails), F.lit(f"invalid_value:{c.name}")))
     count_ok = F.coalesce(F.size("fields") == len(columns), F.lit(False))
-    errors = F.array_compact(F.array(
-        F.when(~F.col("__whole"), F.lit("quoting")),
-        F.when(F.col("__whole") & ~count_ok, F.lit("column_count")),
-        F.when(F.col("__whole") & count_ok & bad, F.lit("invalid_value")),
-    ))
+    values = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    errors = F.when(~F.col("__whole"), F.array(F.lit("quoting"))).when(~count_ok, F.array(F.lit("column_count"))).otherwise(values)
     return out.withColumn("errors", errors).drop("__whole")
 
 
 def rejected(checked: DataFrame) -> DataFrame:
     """The rows that failed, with their first ``reason`` and all ``errors``."""
-    return checked.filter(F.size("errors") > 0).withColumn("reason", F.get("errors", F.lit(0))).drop("fields")
+    return checked.filter(F.size("errors") > 0).withColumn("reason", F.substring_index(F.get("errors", F.lit(0)), ":", 1)).drop("fields")
 
 
 def valid(checked: DataFrame, columns: list[TextColumn]) -> DataFrame:
@@ -85,9 +94,7 @@ def valid(checked: DataFrame, columns: list[TextColumn]) -> DataFrame:
     keep = [F.col(f"`{c}`").alias(f"in_{c}" if c in names else c) for c in checked.columns if c not in ("fields", "errors")]
     typed = []
     for i, c in enumerate(columns):
-        x = F.get(F.col("fields"), i)
-        x = F.when(~x.isin(*c.nulls), x) if c.nulls else x
-        typed.append((x if c.kind == "string" else x.try_cast(c.kind)).alias(c.name))
+        typed.append(_typed(F.get(F.col("fields"), i), c).alias(c.name))
     return checked.filter(F.size("errors") == 0).select(*keep, *typed)
 
 

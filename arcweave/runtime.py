@@ -3,10 +3,13 @@ and broadcasting only what has a checked size."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +39,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_staged: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder for a written table."""
-    return f"{checkpoint_dir(spark)}/arcweave-{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared checkpoint folder for a written table; it
+    is deleted when the driver's process ends, or by ``clear_stages``."""
+    path = f"{checkpoint_dir(spark)}/arcweave-{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all written tables of this process. Results that weren't
+    collected or written yet can't be read any more."""
+    while _staged:
+        _delete(spark, _staged.pop())
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()):
+        with suppress(Exception):  # the JVM may be gone
+            clear_stages(spark)
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
@@ -60,9 +88,9 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     out._arcweave_path = path
     old = getattr(replaces, "_arcweave_path", None)
     if old:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(old)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, old)
+        if old in _staged:
+            _staged.remove(old)
     return out
 
 

@@ -230,3 +230,12 @@ def test_traversals(movies):
     p = PathTraversal(movies).set_frontier([10]).expand_out(["HAS_CHILD"]).expand_out(["HAS_CHILD"], paths="nodes[2] <> 3")
     assert [(r.id, r.nodes, [e.label for e in r.edges]) for r in p.frontier.collect()] == [(2, [10, 1, 2], ["HAS_CHILD"] * 2)]
     assert ids(p.expand_out(["DIRECTED"])) == []
+
+
+def test_polygons_keep_their_inner_rings(movies):
+    import struct
+
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.5), (1.0, 2.0), (1.0, 1.0)]]
+    raw = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
+    got = rows(movies, f"RETURN polygonWKB('{raw.hex()}', 4326) AS p")[0][0]
+    assert "POLYGON((0 0,4 0,4 4,0 0),(1 1,2 1.5,1 2,1 1))" in str(got)

@@ -112,3 +112,15 @@ def test_bad_rows_against_plain_reading(spark):
             r = good[i]
             assert (r.id, r.tagline, r.rated, r.in_title) == (int(fields[0]), fields[3], fields[6], "z")
             assert r.duration == (None if fields[1] in ("", r"\N") else int(fields[1]))
+
+
+def test_cast_rules_name_the_columns(spark):
+    """A text that its type doesn't take is an error even without a pattern."""
+    from arcweave.operators import badrows as B
+
+    cols = [B.TextColumn("a", "int", nulls=("",)), B.TextColumn("b", "date"), B.TextColumn("c", "string", forbid="x")]
+    df = spark.createDataFrame([(1, "1,2020-01-01,k"), (2, "99999999999,2020-13-01,x"), (3, ",2020-01-01,x"), (4, "1,2,3,4"), (5, '"a')], "n long, raw string")
+    checked = B.check_rows(df, "raw", cols)
+    assert {r.n: r.errors for r in checked.collect()} == {1: [], 2: ["invalid_value:a", "invalid_value:b", "invalid_value:c"], 3: ["invalid_value:c"], 4: ["column_count"], 5: ["quoting"]}
+    assert {r.n: r.reason for r in B.rejected(checked).collect()} == {2: "invalid_value", 3: "invalid_value", 4: "column_count", 5: "quoting"}
+    assert B.valid(checked, cols).filter("a is null or b is null").count() == 0
