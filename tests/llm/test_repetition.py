@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -94,3 +95,23 @@ def test_cutoffs_decide(make):
     assert how(0.05, 0.5) == {1: ("measured", False), 2: ("rejected", True), 3: ("kept", False)}
     assert how(0.05, 0.1)[1] == ("rejected", True)  # moving a cutoff changes rows
     assert how(0.7, 0.8)[2] == ("kept", False)
+
+
+def test_every_document_counts(spark):
+    """One repetitive document of low score among 20,000, and one good document
+    of a higher score than all others of its stratum."""
+    seq = [f"w{i}" for i in range(50)]
+    low = " ".join(seq[:8] + [f"u{i}" for i in range(6)] + seq[:8])  # 8 of 22 words repeated, score 1/22
+    high = " ".join(seq + seq[:12])  # 12 of 62 words repeated, score 5/62
+    text = f"CASE WHEN id = 3 THEN '{low}' WHEN id = 20000 THEN '{high}' WHEN id < 20000 AND id % 40 = 1 THEN repeat('x ', 40) ELSE 'a short text' END"
+    df = spark.range(40000).selectExpr("id AS doc_id", "CASE WHEN id < 20000 THEN 'a' ELSE 'b' END AS lang", f"{text} AS text")
+    cutoffs = R.fit_cutoffs(df, stratum="lang")
+    assert {r.doc_id for r in R.repetitive(df, cutoffs, stratum="lang").collect()} == {3, *range(1, 20000, 40)}
+    assert (cutoffs["a"].reject.n, cutoffs["b"].reject.n) == (19499, 20000) and cutoffs["a"].reject.certified and cutoffs["b"].reject.certified
+
+
+def test_binomial_of_large_counts():
+    plain = lambda wrong, n, p: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(wrong + 1))
+    for wrong, n, p in [(3, 40, 0.3), (30, 40, 0.3), (12, 40, 0.3), (40, 40, 0.05), (0, 7, 0.9)]:
+        assert abs(R.binomial_p(wrong, n, p) - plain(wrong, n, p)) < 1e-9
+    assert R.binomial_p(39_000_000, 40_000_000, 0.001) > 0.999 and 0.4 < R.binomial_p(40_000, 40_000_000, 0.001) < 0.6
