@@ -68,3 +68,9 @@ def test_betweenness_in_one_pass(chain, spark, monkeypatch):
     got = {r.id: r.score for r in paths.betweenness(chain, spark.range(26)).collect()}
     assert got == {i: pytest.approx(i * (25 - i) / 156) for i in range(26)}
     assert len(rows) == 2
+def test_betweenness_query_takes_all_roots(spark, tmp_path):
+    from arcweave.queries.algorithms import QUERIES
+
+    rows = [(0, a, a + 1, a) for a in (1, 2, 3)]  # no id is divisible by 20
+    spark.createDataFrame(rows, "e_lid int, src_id long, dst_id long, eid long").write.parquet(f"{tmp_path}/lgraph_export.parquet")
+    assert {(r.id, r.score) for r in QUERIES["algo_betweenness"](spark, str(tmp_path)).collect()} == {(1, 0.0), (2, 1.0), (3, 1.0), (4, 0.0)}
