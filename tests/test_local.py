@@ -74,3 +74,17 @@ def test_betweenness_query_takes_all_roots(spark, tmp_path):
     rows = [(0, a, a + 1, a) for a in (1, 2, 3)]  # no id is divisible by 20
     spark.createDataFrame(rows, "e_lid int, src_id long, dst_id long, eid long").write.parquet(f"{tmp_path}/lgraph_export.parquet")
     assert {(r.id, r.score) for r in QUERIES["algo_betweenness"](spark, str(tmp_path)).collect()} == {(1, 0.0), (2, 1.0), (3, 1.0), (4, 0.0)}
+def test_apsp_held(graph, spark, monkeypatch):
+    both_ways_equal(monkeypatch, lambda: paths.apsp(graph, spark.range(80)))
+
+
+def test_apsp_in_one_pass(chain, monkeypatch):
+    rows = steps(monkeypatch, paths)
+    assert {tuple(r) for r in paths.apsp(chain).collect()} == {(a, b, float(b - a)) for a in range(26) for b in range(a + 1, 26)}
+    assert len(rows) == 1
+
+
+def test_apsp_of_weights_that_are_no_whole_numbers(spark):
+    e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.25), (1, 3, 0.5)], "src long, dst long, weight double")
+    assert local.hold(e, spark.range(4)) is None
+    assert {(r.src, r.dst): r.dist for r in paths.apsp(e).collect()} == {(1, 2): 0.1, (2, 3): 0.25, (1, 3): pytest.approx(0.35)}
