@@ -88,3 +88,11 @@ def test_apsp_of_weights_that_are_no_whole_numbers(spark):
     e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.25), (1, 3, 0.5)], "src long, dst long, weight double")
     assert local.hold(e, spark.range(4)) is None
     assert {(r.src, r.dst): r.dist for r in paths.apsp(e).collect()} == {(1, 2): 0.1, (2, 3): 0.25, (1, 3): pytest.approx(0.35)}
+def test_closeness_held(graph, spark, monkeypatch):
+    both_ways_equal(monkeypatch, lambda: paths.closeness(graph, spark.range(80)))
+
+
+def test_closeness_in_one_pass(chain, spark, monkeypatch):
+    rows = steps(monkeypatch, paths)
+    assert {r.id: r.score for r in paths.closeness(chain, spark.createDataFrame([(25,)], "id long")).collect()} == {i: pytest.approx(1 / (25 - i)) for i in range(25)}
+    assert len(rows) == 1
