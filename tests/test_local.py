@@ -96,3 +96,11 @@ def test_closeness_in_one_pass(chain, spark, monkeypatch):
     rows = steps(monkeypatch, paths)
     assert {r.id: r.score for r in paths.closeness(chain, spark.createDataFrame([(25,)], "id long")).collect()} == {i: pytest.approx(1 / (25 - i)) for i in range(25)}
     assert len(rows) == 1
+def test_eccentricity_held(graph, spark, monkeypatch):
+    both_ways_equal(monkeypatch, lambda: paths.eccentricity(graph, spark.range(80)))
+
+
+def test_eccentricity_in_one_pass(chain, spark, monkeypatch):
+    rows = steps(monkeypatch, paths)
+    assert {r.root: r.ecc for r in paths.eccentricity(chain, spark.range(26)).collect()} == {i: max(i, 25 - i) for i in range(26)}
+    assert len(rows) == 1
