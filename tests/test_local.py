@@ -104,3 +104,19 @@ def test_eccentricity_in_one_pass(chain, spark, monkeypatch):
     rows = steps(monkeypatch, paths)
     assert {r.root: r.ecc for r in paths.eccentricity(chain, spark.range(26)).collect()} == {i: max(i, 25 - i) for i in range(26)}
     assert len(rows) == 1
+def test_motifs_of_three_as_listed(graph, spark):
+    roots = spark.range(60)
+    e = graph.filter("src <> dst").select("src", "dst").distinct()
+    listed: dict[tuple, int] = {}
+    for r in structure._masks(e, roots, 3).collect():
+        at = (r.root, structure.canonical(r.mask, 3))
+        listed[at] = listed.get(at, 0) + r.n
+    assert {(r.root, r.mask): r.n for r in structure.motifs(graph, roots, 3).collect()} == listed
+
+
+def test_motifs_of_a_hub_are_counted(spark, monkeypatch):
+    e = spark.createDataFrame([(0, i) for i in range(1, 61)], "src long, dst long")
+    rows = steps(monkeypatch, structure)
+    got = {(r.root, r.n) for r in structure.motifs(e, spark.range(61), 3).collect()}
+    assert got == {(0, 60 * 59 // 2)} | {(i, 59) for i in range(1, 61)}
+    assert max(rows) <= 120  # links, not sets
