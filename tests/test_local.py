@@ -104,6 +104,23 @@ def test_eccentricity_in_one_pass(chain, spark, monkeypatch):
     rows = steps(monkeypatch, paths)
     assert {r.root: r.ecc for r in paths.eccentricity(chain, spark.range(26)).collect()} == {i: max(i, 25 - i) for i in range(26)}
     assert len(rows) == 1
+def test_shortest_paths_share_the_search_of_an_end(spark, monkeypatch):
+    e = spark.createDataFrame([(0, i) for i in range(1, 41)], "src long, dst long")
+    pairs = spark.createDataFrame([(i, 40) for i in range(1, 40)] + [(40, 40), (3, 99)], "src long, dst long")
+    rows = steps(monkeypatch, paths)
+    assert {(r.src, r.hops, tuple(r.nodes)) for r in paths.shortest_paths(e, pairs).collect()} == {(i, 2, (i, 0, 40)) for i in range(1, 40)} | {(40, 0, (40,))}
+    assert max(rows) <= 41  # a row per pair or vertex, not per pair and vertex
+
+
+def test_shortest_paths_every_and_smallest(spark):
+    e = spark.createDataFrame([(1, 5), (1, 2), (2, 6), (5, 6), (6, 7), (2, 8), (8, 7)], "src long, dst long")
+    pairs = spark.createDataFrame([(1, 7), (2, 7), (7, 1)], "src long, dst long")
+    get = lambda **kw: sorted((r.src, r.dst, r.hops, tuple(r.nodes)) for r in paths.shortest_paths(e, pairs, **kw).collect())
+    assert get(direction="OUT") == [(1, 7, 3, (1, 2, 6, 7)), (2, 7, 2, (2, 6, 7))]
+    assert get(direction="OUT", every=True) == [(1, 7, 3, (1, 2, 6, 7)), (1, 7, 3, (1, 2, 8, 7)), (1, 7, 3, (1, 5, 6, 7)), (2, 7, 2, (2, 6, 7)), (2, 7, 2, (2, 8, 7))]
+    assert get(direction="OUT", hops=2) == [(2, 7, 2, (2, 6, 7))]
+
+
 def test_motifs_of_three_as_listed(graph, spark):
     roots = spark.range(60)
     e = graph.filter("src <> dst").select("src", "dst").distinct()
