@@ -137,3 +137,9 @@ def test_motifs_of_a_hub_are_counted(spark, monkeypatch):
     got = {(r.root, r.n) for r in structure.motifs(e, spark.range(61), 3).collect()}
     assert got == {(0, 60 * 59 // 2)} | {(i, 59) for i in range(1, 61)}
     assert max(rows) <= 120  # links, not sets
+def test_common_neighbours_of_a_hub(spark):
+    e = spark.createDataFrame([(0, i) for i in range(1, 101)] + [(1, 2), (1, 2)], "src long, dst long")
+    pairs = e.filter("src = 0").select(e.src.alias("a"), e.dst.alias("b"))
+    out = structure.common_neighbours(e, pairs)
+    assert {(r.a, r.b): r.common for r in out.collect()} == {(0, i): int(i < 3) for i in range(1, 101)}
+    assert joined(out) < 1000  # 10,000 from the hub's side
