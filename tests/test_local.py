@@ -143,3 +143,9 @@ def test_common_neighbours_of_a_hub(spark):
     out = structure.common_neighbours(e, pairs)
     assert {(r.a, r.b): r.common for r in out.collect()} == {(0, i): int(i < 3) for i in range(1, 101)}
     assert joined(out) < 1000  # 10,000 from the hub's side
+def test_jaccard_of_a_hub(spark):
+    e = spark.createDataFrame([(0, i) for i in range(1, 101)] + [(1, 2)], "src long, dst long")
+    pairs = e.filter("src = 0").select(e.src.alias("a"), e.dst.alias("b"))
+    out = structure.jaccard(e, pairs)
+    assert {(r.a, r.b): r.jaccard for r in out.collect()} == {(0, i): pytest.approx(1 / 101 if i < 3 else 0) for i in range(1, 101)}
+    assert joined(out) < 1500  # 10,000 from the hub's side
