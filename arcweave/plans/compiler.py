@@ -648,6 +648,7 @@ class Compiler:
         """Inner match of all paths, which share one rule of unique edges."""
         outer = set(s.names)
         paths = [replace(p, nodes=[replace(n, var=n.var or self.new()) for n in p.nodes], rels=[replace(r, var=r.var or self.new()) for r in p.rels]) for p in paths]
+        paths = self.hop_by_hop(outer, paths)
         # inline conditions on other variables join the paths they come from
         foreign: list = []
         for path in paths:
@@ -689,6 +690,45 @@ class Compiler:
             s = self.where(s, part)
         return s
 
+    def hop_by_hop(self, outer: set[str], paths: list[P.PathPat]) -> list[P.PathPat]:
+        """Paths that close a circle, cut into their hops: whatever closes it as
+        soon as both ends are there, else the hop of fewest edges per vertex it
+        starts from. In the order given, two ends with a common neighbour of
+        many edges would be paired before anything else links them."""
+        hops = [(a, r, b) for p in paths for a, r, b in zip(p.nodes, p.rels, p.nodes[1:])]
+        every = [n for p in paths for n in p.nodes]
+        if len(paths) < 2 or len(hops) < len({n.var for n in every}) or any(p.var or p.shortest or not p.rels for p in paths) or any(r.span is not None for _, r, _ in hops):
+            return paths
+        labels: dict[str, list[str]] = {}
+        for n in every:
+            if n.labels:
+                labels.setdefault(n.var, n.labels)
+        picky = {n.var for n in every if n.props or n.where is not None}
+        bound, met, out = set(outer), set(), []
+
+        def cost(hop: tuple) -> float:
+            a, r, b = hop
+            if a.var in bound and b.var in bound:
+                return -1
+            tables = self.oriented(r, False, set(labels.get(a.var, [])) or None, set(labels.get(b.var, [])) or None)
+            rows = sum(t.rows for t, _ in tables)
+            if not bound & {a.var, b.var}:
+                return rows * (0.01 if picky & {a.var, b.var} else 1)
+            own = {t.src_label if rev != (a.var in bound) else t.dst_label for t, rev in tables}
+            return rows / max(1, sum(self.g.vertices[x].rows for x in own))
+
+        while hops:
+            hop = min([h for h in hops if bound & {h[0].var, h[2].var}] or hops, key=cost)
+            hops.remove(hop)
+            ends = []
+            for n in (hop[0], hop[2]):
+                n = replace(n, labels=n.labels or labels.get(n.var, []))
+                ends.append(replace(n, props={}, where=None) if id(n.props) in met else n)
+                met.add(id(n.props))
+            bound |= {hop[0].var, hop[2].var}
+            out.append(P.PathPat(None, ends, [hop[1]]))
+        return out
+
     def same_edge(self, a: Any, b: Any) -> Column:
         def one(r: Rel, x: Column | None = None) -> tuple[Column, Column]:
             return (c(r.col("eid")), c(r.col("type"))) if x is None else (x["_eid"], x["_type"])

@@ -31,6 +31,10 @@ class _Lazy:
     def df(self) -> DataFrame:
         return self.source() if callable(self.source) and not isinstance(self.source, DataFrame) else self.source
 
+    @cached_property
+    def rows(self) -> int:
+        return self.df.count()
+
 
 @dataclass(frozen=True, eq=False)
 class VertexTable(_Lazy):

@@ -239,3 +239,23 @@ def test_polygons_keep_their_inner_rings(movies):
     raw = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
     got = rows(movies, f"RETURN polygonWKB('{raw.hex()}', 4326) AS p")[0][0]
     assert "POLYGON((0 0,4 0,4 4,0 0),(1 1,2 1.5,1 2,1 1))" in str(got)
+
+
+def _joined(df) -> int:
+    from tests.test_local import joined
+
+    return joined(df)
+
+
+def test_circle_of_paths_is_not_paired_first(spark):
+    """60 a and 60 b beside one n; each a leads by its own c to one b."""
+    from arcweave.plans.graph import PropertyGraph
+
+    make = lambda rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "_eid long, _src long, _dst long")
+    ids = lambda rows: spark.createDataFrame([(i,) for i in rows], "k long")
+    g = PropertyGraph(spark).with_vertices("N", ids([1]), "k").with_vertices("A", ids(range(100, 160)), "k").with_vertices("B", ids(range(200, 260)), "k").with_vertices("C", ids(range(300, 360)), "k")
+    g = g.with_edges("AN", "A", "N", make([(100 + i, 1) for i in range(60)])).with_edges("BN", "B", "N", make([(200 + i, 1) for i in range(0, 60, 2)]))
+    g = g.with_edges("AC", "A", "C", make([(100 + i, 300 + i) for i in range(60)])).with_edges("CB", "C", "B", make([(300 + i, 200 + i) for i in range(60)]))
+    df = g.cypher("MATCH (a:A)-[:AN]->(n:N)<-[:BN]-(b:B), (a)-[:AC]->(c:C)-[:CB]->(b) RETURN count(*) AS n")
+    assert _joined(df) <= 300  # 1,800 pairs of a and b
+    assert df.first()["n"] == 30

@@ -68,12 +68,16 @@ def test_betweenness_in_one_pass(chain, spark, monkeypatch):
     got = {r.id: r.score for r in paths.betweenness(chain, spark.range(26)).collect()}
     assert got == {i: pytest.approx(i * (25 - i) / 156) for i in range(26)}
     assert len(rows) == 2
+
+
 def test_betweenness_query_takes_all_roots(spark, tmp_path):
     from arcweave.queries.algorithms import QUERIES
 
     rows = [(0, a, a + 1, a) for a in (1, 2, 3)]  # no id is divisible by 20
     spark.createDataFrame(rows, "e_lid int, src_id long, dst_id long, eid long").write.parquet(f"{tmp_path}/lgraph_export.parquet")
     assert {(r.id, r.score) for r in QUERIES["algo_betweenness"](spark, str(tmp_path)).collect()} == {(1, 0.0), (2, 1.0), (3, 1.0), (4, 0.0)}
+
+
 def test_apsp_held(graph, spark, monkeypatch):
     both_ways_equal(monkeypatch, lambda: paths.apsp(graph, spark.range(80)))
 
@@ -88,6 +92,8 @@ def test_apsp_of_weights_that_are_no_whole_numbers(spark):
     e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.25), (1, 3, 0.5)], "src long, dst long, weight double")
     assert local.hold(e, spark.range(4)) is None
     assert {(r.src, r.dst): r.dist for r in paths.apsp(e).collect()} == {(1, 2): 0.1, (2, 3): 0.25, (1, 3): pytest.approx(0.35)}
+
+
 def test_closeness_held(graph, spark, monkeypatch):
     both_ways_equal(monkeypatch, lambda: paths.closeness(graph, spark.range(80)))
 
@@ -96,6 +102,8 @@ def test_closeness_in_one_pass(chain, spark, monkeypatch):
     rows = steps(monkeypatch, paths)
     assert {r.id: r.score for r in paths.closeness(chain, spark.createDataFrame([(25,)], "id long")).collect()} == {i: pytest.approx(1 / (25 - i)) for i in range(25)}
     assert len(rows) == 1
+
+
 def test_eccentricity_held(graph, spark, monkeypatch):
     both_ways_equal(monkeypatch, lambda: paths.eccentricity(graph, spark.range(80)))
 
@@ -104,6 +112,8 @@ def test_eccentricity_in_one_pass(chain, spark, monkeypatch):
     rows = steps(monkeypatch, paths)
     assert {r.root: r.ecc for r in paths.eccentricity(chain, spark.range(26)).collect()} == {i: max(i, 25 - i) for i in range(26)}
     assert len(rows) == 1
+
+
 def test_shortest_paths_share_the_search_of_an_end(spark, monkeypatch):
     e = spark.createDataFrame([(0, i) for i in range(1, 41)], "src long, dst long")
     pairs = spark.createDataFrame([(i, 40) for i in range(1, 40)] + [(40, 40), (3, 99)], "src long, dst long")
@@ -137,12 +147,16 @@ def test_motifs_of_a_hub_are_counted(spark, monkeypatch):
     got = {(r.root, r.n) for r in structure.motifs(e, spark.range(61), 3).collect()}
     assert got == {(0, 60 * 59 // 2)} | {(i, 59) for i in range(1, 61)}
     assert max(rows) <= 120  # links, not sets
+
+
 def test_common_neighbours_of_a_hub(spark):
     e = spark.createDataFrame([(0, i) for i in range(1, 101)] + [(1, 2), (1, 2)], "src long, dst long")
     pairs = e.filter("src = 0").select(e.src.alias("a"), e.dst.alias("b"))
     out = structure.common_neighbours(e, pairs)
     assert {(r.a, r.b): r.common for r in out.collect()} == {(0, i): int(i < 3) for i in range(1, 101)}
     assert joined(out) < 1000  # 10,000 from the hub's side
+
+
 def test_jaccard_of_a_hub(spark):
     e = spark.createDataFrame([(0, i) for i in range(1, 101)] + [(1, 2)], "src long, dst long")
     pairs = e.filter("src = 0").select(e.src.alias("a"), e.dst.alias("b"))
