@@ -1268,7 +1268,95 @@ class Compiler:
                 return -self.constant(a)
         raise GraphError("this procedure takes constants")
 
+    def apart(self, clauses: list) -> DataFrame | None:
+        """A match whose aggregates don't count how often a value comes, each
+        taken over the part of the pattern that joins its variables to the keys;
+        the other parts only have to exist. None where that isn't so: beside
+        trees of hops of different types, keys, and min, max or DISTINCT."""
+        if len(clauses) != 2 or not isinstance(clauses[0], P.Match) or not isinstance(clauses[1], P.Project):
+            return None
+        m, p = clauses
+        if m.optional or m.where is not None or p.star or p.distinct or p.order or p.skip is not None or p.limit is not None or p.where is not None:
+            return None
+        nodes: dict[str, P.NodePat] = {}
+        hops: list[tuple[str, P.RelPat, str]] = []
+        for path in m.paths:
+            names = []
+            for n in path.nodes:
+                v = n.var or self.new("_n")
+                if n.where is not None or any(P.variables(x) for x in n.props.values()) or v in nodes and (n.labels or n.props):
+                    return None
+                nodes.setdefault(v, replace(n, var=v))
+                names.append(v)
+            hops += zip(names, path.rels, names[1:])
+            if path.var or path.shortest:
+                return None
+        types = [x for _, r, _ in hops for x in r.types]
+        if any(not r.types or r.span is not None or r.props or r.where is not None for _, r, _ in hops) or len(types) != len(set(types)) or len(nodes) != len(hops) + 1:
+            return None
+        keys = [it for it in p.items if not has_aggregate(it.expr)]
+        rest = [it for it in p.items if has_aggregate(it.expr)]
+        known = set().union(*[P.variables(it.expr) for it in keys] or [set()])
+        if not known or any(has_exists(it.expr) for it in p.items) or any(not isinstance(it.expr, P.Fn) or it.expr.star or any(has_aggregate(x) for x in it.expr.args) or not (it.expr.name in ("min", "max") or it.expr.name in ("count", "collect") and it.expr.distinct) for it in rest):
+            return None
+        groups: dict[frozenset, list[P.Item]] = {}
+        for it in rest:
+            groups.setdefault(frozenset(P.variables(it.expr) | known), []).append(it)
+        if len(groups) < 2 or not set().union(*groups) <= set(nodes):
+            return None
+        # a vertex whose properties are taken has to be one of its frame, also where only the other aggregates ask for it
+        at_all = Scope(None, {v: Node(v, set()) for v in nodes})
+        taken: dict[str, str] = {}
+
+        def props(e: Any) -> None:
+            if isinstance(e, P.Prop) and isinstance(e.of, P.Var):
+                taken[e.of.name] = e.name
+            for x in P.children(e):
+                props(x)
+
+        for it in p.items:
+            props(it.expr)
+        if set().union(*[self.needs(at_all, it.expr) for it in p.items]) - set(taken):
+            return None
+        there = {v: P.Bin("OR", P.Un("NULL", P.Prop(P.Var(v), x)), P.Un("NOT NULL", P.Prop(P.Var(v), x))) for v, x in taken.items()}
+
+        frames = []
+        for need, items in groups.items():
+            kept, ends = list(hops), []
+            while leaf := next((v for v in nodes if v not in need and sum(v in (a, b) for a, _, b in kept) == 1), None):
+                hop = next(h for h in kept if leaf in (h[0], h[2]))
+                kept.remove(hop)
+                inner = hop[2] if hop[0] == leaf else hop[0]
+                at = [e for e in ends if e.nodes[-1].var == leaf]
+                if len(at) > 1:
+                    return None  # what must exist branches
+                way = hop[1] if hop[0] == leaf else replace(hop[1], direction={">": "<", "<": ">", "-": "-"}[hop[1].direction])
+                path = at[0] if at else P.PathPat(None, [replace(nodes[leaf], where=there.get(leaf))], [])
+                inside = nodes[inner] if inner in need else replace(nodes[inner], where=there.get(inner))
+                ends = [e for e in ends if e is not path] + [P.PathPat(None, [*path.nodes, inside], [*path.rels, way])]
+            if len({v for a, _, b in kept for v in (a, b)}) != len(kept) + 1:  # not connected, or nothing left
+                return None
+            seen: set[str] = set()
+            paths = []
+            for a, r, b in kept:
+                paths.append(P.PathPat(None, [replace(nodes[v], props={}) if v in seen else nodes[v] for v in (a, b)], [r]))
+                seen |= {a, b}
+            where = None
+            for e in ends:
+                x = P.Exists(replace(e, nodes=[*e.nodes[:-1], P.NodePat(e.nodes[-1].var, [], {})]))
+                where = x if where is None else P.Bin("AND", where, x)
+            frames.append((Compiler(self.g, self.params, self.compat).part([P.Match(paths, where), replace(p, items=[*keys, *items])]), items))
+        out = None
+        for i, (df, items) in enumerate(frames):
+            df = df.toDF(*[f"@k{i}_{j}" for j in range(len(keys))], *[f"@a{it.name}" for it in items])
+            on = [c(f"@k0_{j}").eqNullSafe(c(f"@k{i}_{j}")) for j in range(len(keys))]
+            out = df if out is None else out.join(df, on)
+        place = {it.name: f"@k0_{j}" for j, it in enumerate(keys)}
+        return out.select(*[c(place.get(it.name, f"@a{it.name}")).alias(it.name) for it in p.items])
+
     def part(self, clauses: list) -> DataFrame:
+        if (df := self.apart(clauses)) is not None:
+            return df
         s = Scope(None)
         for x in clauses:
             s = self.clause(s, x)

@@ -259,3 +259,20 @@ def test_circle_of_paths_is_not_paired_first(spark):
     df = g.cypher("MATCH (a:A)-[:AN]->(n:N)<-[:BN]-(b:B), (a)-[:AC]->(c:C)-[:CB]->(b) RETURN count(*) AS n")
     assert _joined(df) <= 300  # 1,800 pairs of a and b
     assert df.first()["n"] == 30
+
+
+def test_aggregates_of_separate_branches_are_not_multiplied(spark):
+    """DISTINCT, min and max over the branches at a vertex, with vertices and
+    branches that are missing."""
+    from arcweave.plans.graph import PropertyGraph
+
+    make = lambda rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "_eid long, _src long, _dst long")
+    g = PropertyGraph(spark).with_vertices("N", spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "k long, name string"), "k")
+    g = g.with_vertices("S", spark.createDataFrame([(i,) for i in range(100, 160)], "k long"), "k").with_vertices("O", spark.createDataFrame([(i, i % 7) for i in range(200, 260)], "k long, v int"), "k")
+    g = g.with_edges("SN", "S", "N", make([(100 + i, 1 + i % 4) for i in range(60)]))
+    g = g.with_edges("ON", "O", "N", make([(200 + i, 1 + i % 3) for i in range(60)] + [(999, 4), (200, 2)]))  # 999 is no vertex
+    text = "MATCH (s:S)-[:SN]->(n:N)<-[:ON]-(o:O) RETURN n.name AS name, count(DISTINCT s) AS s, count(DISTINCT o) AS o, max(o.v) AS v"
+    df = g.cypher(text)
+    assert _joined(df) <= 600  # 15 by 20 at each of three, before the names and values come to it
+    plain = g.cypher(text.replace("count(DISTINCT o) AS o, max(o.v) AS v", "count(DISTINCT o) AS o, max(o.v) AS v, count(*) AS n"))
+    assert {tuple(r) for r in df.collect()} == {tuple(r)[:4] for r in plain.collect()} and df.count() == 3
