@@ -91,7 +91,7 @@ def round_trip(s, d):
 def round_trip_json(s, d):
     """The whole graph written with an import configuration and loaded by it."""
     path = stage_path(s, "export")
-    importer.export_files(graph(s, d), path, "JSON")
+    importer.export_files(graph(s, d), path, "JSON", "gzip")
     return importer.load(s, f"{path}/import.json", path).cypher(_TRIP)
 
 

@@ -16,9 +16,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.plans.graph import GraphError, PropertyGraph, namespaced_id
+from arcweave.plans.graph import KEY_BITS, GraphError, PropertyGraph, VertexTable, namespaced_id
 from arcweave.plans.updates import resolve_ends
-from arcweave.runtime import join_bounded
+from arcweave.runtime import cut, join_bounded
 
 # fixed values: the property types of the configuration
 TYPES = {"BOOL": "boolean", "INT8": "tinyint", "INT16": "smallint", "INT32": "int", "INT64": "bigint", "FLOAT": "float", "DOUBLE": "double", "DATE": "date", "DATETIME": "timestamp_ntz", "STRING": "string", "BLOB": "binary", "POINT": "string", "LINESTRING": "string", "POLYGON": "string", "FLOAT_VECTOR": "array<float>"}
@@ -120,8 +120,6 @@ def dense_ids(df: DataFrame, key: str, number: int = 0) -> DataFrame:
     is unique), by range partitions whose sizes are summed up on the driver."""
     from pyspark.sql import Window
 
-    from arcweave.runtime import cut
-
     parts = cut(df.repartitionByRange(F.col(f"`{key}`")).withColumn("@part", F.spark_partition_id()))
     sizes = {r["@part"]: r["n"] for r in parts.groupBy("@part").agg(F.count("*").alias("n")).collect()}  # one row per partition
     if not sizes:
@@ -153,11 +151,25 @@ def _text(name: str, kind: str) -> Column:
     return (F.base64(col) if kind == "BLOB" else F.to_json(col) if kind == "FLOAT_VECTOR" else col.cast("string")).alias(name)
 
 
-def export_files(g: PropertyGraph, folder: str, form: str = "JSON") -> dict:
+def _with_key(df: DataFrame, v: VertexTable, side: str, key: str) -> DataFrame:
+    """Edges with the primary key of an end, without those that end nowhere.
+    Where ids are made of keys, only the ids are held against the label's, and
+    the wide rows go through no join unless some end nowhere."""
+    if v.number is None:
+        return df.join(v.df.select(F.col("_id").alias(side), F.col(f"`{v.primary}`").alias(key)), side)
+    lost = cut(df.select(side).filter(F.col(side).isNotNull()).distinct().join(v.df.select(F.col("_id").alias(side)), side, "left_anti"))
+    df = df.filter(F.col(side).isNotNull())
+    if not lost.isEmpty():
+        df = join_bounded(df, lost, [side], "left_anti")
+    return df.withColumn(key, F.col(side).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).cast(v.props[v.primary]))
+
+
+def export_files(g: PropertyGraph, folder: str, form: str = "JSON", compression: str | None = None) -> dict:
     """Write every label below ``folder`` as CSV (with a header row) or JSON
-    lines, edges with the primary keys of their ends, and an import
-    configuration beside them (``import.json``), which is returned; ``load``
-    makes the same graph of it. Labels need a primary key."""
+    lines (compressed by a codec of Spark's, if one is named), edges with the
+    primary keys of their ends, and an import configuration beside them
+    (``import.json``), which is returned; ``load`` makes the same graph of it.
+    Labels need a primary key."""
     form = form.upper()
     names = {v: k for k, v in TYPES.items() if k not in ("POINT", "LINESTRING", "POLYGON")} | {"timestamp": "DATETIME", "array<double>": "FLOAT_VECTOR"}
     config: dict = {"schema": [], "files": []}
@@ -166,9 +178,9 @@ def export_files(g: PropertyGraph, folder: str, form: str = "JSON") -> dict:
         cols = [*ends, *kinds]
         out = df.select(*[F.col(e).cast("string").alias(e) for e in ends], *[_text(p, k) for p, k in kinds.items()])
         if form == "CSV":
-            out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}")
+            out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}", compression=compression)
             return {"path": name, "format": "CSV", "header": 1, "multiline": True, "columns": cols}
-        out.write.mode("overwrite").json(f"{folder}/{name}")
+        out.write.mode("overwrite").json(f"{folder}/{name}", compression=compression)
         return {"path": name, "format": "JSON", "columns": cols}
 
     def kinds_of(props: dict) -> dict[str, str]:
@@ -192,8 +204,7 @@ def export_files(g: PropertyGraph, folder: str, form: str = "JSON") -> dict:
         for e in mine:
             df = e.df
             for side, key, end in (("_src", "SRC_ID", e.src_label), ("_dst", "DST_ID", e.dst_label)):
-                v = g.vertices[end]
-                df = df.join(v.df.select(F.col("_id").alias(side), F.col(f"`{v.primary}`").alias(key)), side)
+                df = _with_key(df, g.vertices[end], side, key)
             config["files"].append({"label": label, "SRC_ID": e.src_label, "DST_ID": e.dst_label, **put(df, {p: kinds[p] for p in e.props}, ["SRC_ID", "DST_ID"], f"edge_{label}_{e.src_label}_{e.dst_label}")})
     text = g.spark.createDataFrame([(json.dumps(config),)], "value string")
     text.coalesce(1).write.mode("overwrite").text(f"{folder}/import.json")
