@@ -297,3 +297,18 @@ def test_export_of_edges_takes_keys_from_ids(spark, tmp_path):
     assert {tuple(r) for r in spark.read.json(f"{tmp_path}/edge_AB_A_B").select("SRC_ID", "DST_ID").collect()} == {("1", "2"), ("3", "3")}
     back = importer.load(spark, f"{tmp_path}/import.json", str(tmp_path))
     assert {tuple(r) for r in back.cypher("MATCH (a:A)-[:AB]->(b:B) RETURN a.name AS a, b.name AS b").collect()} == {("a", "b"), (None, None)}
+
+
+def test_hops_nobody_asks_for_carry_only_edge_ids(spark, monkeypatch):
+    from arcweave.plans import compiler
+    from arcweave.plans.graph import PropertyGraph
+
+    written, cut = [], compiler.cut
+    monkeypatch.setattr(compiler, "cut", lambda df, *args, **kw: written.append(df.schema.simpleString()) or cut(df, *args, **kw))
+    k = spark.range(12).withColumnRenamed("id", "k")
+    g = PropertyGraph(spark).with_vertices("N", k, "k").with_edges("NEXT", "N", "N", k.selectExpr("k as _src", "(k + 1) % 12 as _dst", "k as _eid"))
+    assert g.cypher("MATCH (a:N)-[:NEXT*9..9]->(b:N) RETURN a.k AS a, b.k AS b").count() == 12
+    assert written and not any("_src" in x for x in written)
+    assert g.cypher("MATCH (a:N)-[:NEXT*12..13]->(b:N) RETURN a.k AS a, b.k AS b").count() == 12  # the 13th would use an edge again
+    assert g.cypher("MATCH (a:N {k: 0})-[r:NEXT*6..6]->(b:N) RETURN size(r) AS n, b.k AS b").collect()[0].asDict() == {"n": 6, "b": 6}
+    assert g.cypher("MATCH p = (a:N {k: 0})-[:NEXT*6..6]->(b:N) RETURN length(p) AS n").collect()[0]["n"] == 6
